@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 from .text import mix, pieces, powers, small_batches, words
 
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5)
-#: Labelled documents of each class that are learned from, at most: those with the smallest hashes.
-TRAIN_DOCS = 3000
+#: Labelled documents that are learned from, at most, toxic and clean: those with the smallest hashes.
+TRAIN_DOCS = (2500, 5000)
+#: One in so many of them is not learned from but calibrates the score.
+CALIBRATE = 4
 FOLDS, FOLD = 5, 0
 
 
@@ -97,48 +99,48 @@ class Model:
         return self.e @ (self.v[:, 1] - self.v[:, 0]), float(self.b[1] - self.b[0])
 
 
+def _top(z: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
+    """The largest value of each document's words."""
+    return np.array([z[i].max() for i in ids])
+
+
 def fit(docs: list[tuple[list[str], int]], rounds: int = 8, prior: float | None = None, seed: int = 11) -> dict:
     """Train on documents as lists of distinct words with labels; prior: share of toxic ones to calibrate for."""
-    y = np.array([t for _, t in docs])
+    docs = [d for d in docs if d[0]]
+    y = np.array([t for _, t in docs], int)
+    if len(docs) == 0 or y.min() == y.max():
+        return {"table": np.zeros(1 << BUCKET_BITS, np.float32), "bias": 0.0, "scale": 1.0, "shift": 4.0 if len(docs) and y[0] else -4.0}
     vocab: dict[str, int] = {}
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for ws, _ in docs]
     model = Model(seed)
-    if not vocab or y.min(initial=1) == y.max(initial=0):
-        return {"table": np.zeros(1 << BUCKET_BITS, np.float32), "bias": 0.0, "scale": 1.0, "shift": -4.0 if not y.any() else 4.0}
     flat, bounds = bags(list(vocab))
-    pos, neg = (np.bincount(np.concatenate([i for i, t in zip(ids, y) if t == k] or [np.empty(0, np.int64)]).astype(np.int64), minlength=len(vocab)) for k in (1, 0))
-    # first every word as often as it tells something, then the documents by their most toxic words
-    seen = np.flatnonzero(pos + neg >= 2)
-    seen = seen if len(seen) else np.arange(len(vocab))
-    soft = np.where(neg[seen] > 0, 0.0, 1.0)
+    # each class gives its share to calibration, as far as it has enough documents
+    rank = np.zeros(len(y), int)
+    for k in (0, 1):
+        rank[y == k] = np.arange((y == k).sum()) if (y == k).sum() >= 2 * CALIBRATE else 0
+    learn = rank % CALIBRATE != CALIBRATE - 1
+    toxic = [i for i, t, u in zip(ids, y, learn) if t and u]
+    clean_docs = [i for i, t, u in zip(ids, y, learn) if not t and u]
+    pos, neg = (np.bincount(np.concatenate(x), minlength=len(vocab)) for x in (toxic, clean_docs))
+    # first each word by itself: as clean if a clean document has it
+    seen = np.flatnonzero((pos >= 2) | (neg >= 1))
     for _ in range(3):
-        model.learn(flat, bounds, seen, soft, np.log1p(pos + neg)[seen], 0.3)
+        model.learn(flat, bounds, seen, np.where(neg[seen] > 0, 0.0, 1.0), np.log1p(pos + neg)[seen], 0.3)
     clean = np.flatnonzero(neg > 0)
-    lens = np.array([len(i) for i in ids])
-    full = np.flatnonzero(lens)
-    words_flat, first = np.concatenate([ids[i] for i in full]), np.cumsum(lens[full]) - lens[full]
-    for k in range(rounds + 1):
+    for _ in range(rounds):
         table, bias = model.scalars()
         z = _means(table[flat], bounds) + bias
-        top = np.maximum.reduceat(z[words_flat], first)
-        if k == rounds:
-            break
-        # the most toxic word of each toxic document that no clean one has, if there is one
-        own = np.where(neg > 0, -1e9, z)[words_flat]
-        best = np.maximum.reduceat(own, first)
-        hit = np.repeat(best, lens[full]) == own
-        where = np.flatnonzero(hit)
-        doc_of = np.repeat(np.arange(len(full)), lens[full])[where]
-        one = where[np.concatenate(([True], doc_of[1:] != doc_of[:-1]))]
-        chosen = words_flat[one][(y[full] == 1) & (best > -1e8)]
-        hard = np.unique(words_flat[z[words_flat] >= np.repeat(top, lens[full]) - 1e-12])
-        hard = hard[neg[hard] > 0]
-        some = model.rng.choice(clean, min(len(clean), 20000), replace=False)
-        pick = np.concatenate((chosen, hard, some))
+        # then toxic documents by their most toxic word that no clean one has, clean ones by all, hard ones twice
+        own = np.where(neg > 0, -np.inf, z)
+        chosen = np.array([i[own[i].argmax()] for i in toxic if np.isfinite(own[i]).any()], np.int64)
+        hard = np.array([i[z[i].argmax()] for i in clean_docs], np.int64)
+        some = model.rng.choice(clean, min(len(clean), 40000), replace=False)
         target = np.concatenate((np.ones(len(chosen)), np.zeros(len(hard) + len(some))))
-        model.learn(flat, bounds, pick, target, np.concatenate((np.ones(len(chosen)), np.ones(len(hard)), np.full(len(some), 0.5))), 0.2)
-    # calibrate the largest logit of a document by a logistic line, weighted to the prior
-    t = y[full].astype(float)
+        model.learn(flat, bounds, np.concatenate((chosen, hard, some)), target, np.ones(len(target)), 0.2)
+    table, bias = model.scalars()
+    rest = ~learn if (~learn).any() else learn
+    top = _top(_means(table[flat], bounds) + bias, [i for i, u in zip(ids, rest) if u])
+    t = y[rest].astype(float)
     share = t.mean() if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
     scale, shift = logistic(top[:, None], t, weight)
@@ -182,19 +184,19 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = FOLD):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: int) -> tuple[DataFrame, float]:
-    """(y, text) of labelled documents outside the held-out fold, bounded per class, and the share of 1 among all."""
+def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: tuple[int, int]) -> tuple[DataFrame, float]:
+    """(i, y, text) of labelled documents outside the held-out fold, bounded per class, and the share of 1 among all."""
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
     known = known.groupBy("i").agg(F.max("y").alias("y"))
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     order = F.xxhash64("i", F.lit(5))
-    some = [known.where(F.col("y") == v).orderBy(order, "i").limit(per_class) for v in (0, 1)]
+    some = [known.where(F.col("y") == v).orderBy(order, "i").limit(m) for v, m in zip((1, 0), per_class)]
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("text")).join(F.broadcast(some[0].union(some[1])), "i")
     return rows.select("i", "y", "text"), n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = TRAIN_DOCS) -> dict:
-    """The model learned from at most ``per_class`` documents of each label outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: tuple[int, int] = TRAIN_DOCS) -> dict:
+    """The model learned from at most ``per_class`` toxic and clean documents outside the held-out fold."""
     rows, share = sample(docs, labels, doc_id, text, label, per_class)
 
     def distinct(batches):
