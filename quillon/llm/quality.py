@@ -81,7 +81,7 @@ def meta_view(source, lang, n_chars) -> np.ndarray:
     return out
 
 
-def _features(docs: DataFrame, keep: list[str], text: str, meta: list[str | None]):
+def _features(text: str, meta: list[str | None]):
     """A generator of (batch, text view, metadata view) for mapInArrow functions."""
     def each(batches):
         for b in batches:
@@ -162,13 +162,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     wanted = F.broadcast(some[0].union(some[1]).union(rest).distinct())
     cols = [c for c in dict.fromkeys([text, *meta]) if c]
     rows = docs.select(i, *cols).join(wanted, "i").select("i", "y", *cols)
-    each = _features(rows, [], text, meta)
+    each = _features(text, meta)
 
     def run(batches):
         for b, xt, xm in each(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xt.tolist(), pa.list_(pa.float64())), pa.array(xm.tolist(), pa.list_(pa.float64()))], names=["i", "y", "t", "m"])
 
     got = sorted(rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, y int, t array<double>, m array<double>").collect())
+    if not got:
+        return cotrain(*[np.empty((0, 1))] * 2, np.empty(0), *[np.empty((0, 1))] * 2, 0.5)
     y = np.array([r.y for r in got])
     xt = np.array([r.t for r in got]).reshape(len(got), -1)
     xm = np.array([r.m for r in got]).reshape(len(got), -1)
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", meta=("source", "lan
     meta = [c if c in base.columns else None for c in meta]
     stay = [c for c in base.columns if keep_text or c != text]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    each = _features(base, stay, text, meta)
+    each = _features(text, meta)
 
     def run(batches):
         for b, xt, xm in each(batches):
