@@ -7,6 +7,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from ..schema import stored
 from .store import ORDER, PLACE, Store
 
 SIGNALS = ("traces", "logs", "metrics")
@@ -33,21 +34,27 @@ def expire(store: Store, today: date, days: int = RETENTION_DAYS) -> list[str]:
     return gone
 
 
-def fragmented(store: Store, signal: str, target: int = TARGET_BYTES) -> dict[str, tuple[int, int]]:
-    """Partitions with more files than their bytes need: directory -> (files, bytes)."""
-    found: dict[str, list[int]] = {}
-    for path, size in store.folder.files(signal):
-        found.setdefault(path.rpartition("/")[0], []).append(size)
-    return {p: (len(s), sum(s)) for p, s in found.items() if len(s) > max(1, math.ceil(sum(s) / target))}
+def fragmented(store: Store, signal: str, target: int = TARGET_BYTES, since: str | None = None) -> list[tuple[str, date, int, int]]:
+    """(tenant, day, files, bytes) of partitions, of a day or later, with more files than their bytes need.
 
+    Files and sizes come from a scan of no columns, so listing is spread over the cluster.
+    """
+    if not store.folder.names(signal):
+        return []
+    df = store.spark.read.schema(stored(signal)).parquet(f"{store.root}/{signal}")
+    if since:
+        df = df.where(F.col("ingest_date") >= F.lit(since).cast("date"))
+    files = df.select(*PLACE, "_metadata.file_path", "_metadata.file_size").distinct()
+    by = files.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("files"), F.sum("file_size").alias("bytes"))
+    return [tuple(r) for r in by.where(F.col("files") > F.greatest(F.lit(1), F.ceil(F.col("bytes") / target))).collect()]
 
-def compact(store: Store, signal: str, target: int = TARGET_BYTES) -> int:
+
+def compact(store: Store, signal: str, target: int = TARGET_BYTES, since: str | None = None) -> int:
     """Rewrite fragmented partitions into sorted files of about ``target`` bytes; the rows stay the same."""
-    todo = fragmented(store, signal, target)
+    todo = fragmented(store, signal, target, since)
     if not todo:
         return 0
-    unescape = store.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
-    places = [(unescape(p.split("/")[1].partition("=")[2]), p.split("/")[2].partition("=")[2], max(1, math.ceil(b / target))) for p, (_, b) in todo.items()]
+    places = [(t, str(d), max(1, math.ceil(b / target))) for t, d, _, b in todo]
     plan = store.spark.createDataFrame(places, "tenant_id string, day string, parts int").withColumn("ingest_date", F.to_date("day")).drop("day")
     rows = store.table(signal).join(plan, list(PLACE))
     # so many files of a partition as its bytes need, each a range of times by hash, sorted
@@ -56,7 +63,7 @@ def compact(store: Store, signal: str, target: int = TARGET_BYTES) -> int:
     staged = f"_staging/compact-{signal}"
     store.folder.delete(staged)
     out.write.partitionBy(*PLACE).parquet(f"{store.root}/{staged}/{signal}")
-    store.folder.swap(staged, [p for p in todo])
+    store.folder.swap(staged, [f"{signal}/{store.place(t, d)}" for t, d, *_ in todo])
     store.spark.catalog.refreshByPath(f"{store.root}/{signal}")
     return len(todo)
 
@@ -66,5 +73,6 @@ def sweep(store: Store, today: date, days: int = RETENTION_DAYS) -> dict[str, in
     done = {"expired": len(expire(store, today, days))}
     done["compacted"] = sum(compact(store, s) for s in SIGNALS)
     done["finished"] = store.folder.finish()
+    done["forgotten"] = store.forget_versions()
     store.folder.delete("_staging")
     return done

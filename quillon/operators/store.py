@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,12 +89,21 @@ class Store:
             return int(old[0].split("-")[0])
         seq = self.version()
         whose = F.lit(normal(tenant)) if tenant is not None else self.resolver.column()
-        day = F.lit(ingest_date).cast("date") if ingest_date else F.current_date()
-        rows_ = keys.with_head(envelopes, signal).withColumns({"tenant_id": whose, "ingest_seq": F.lit(seq).cast("bigint"), "ingest_row": F.monotonically_increasing_id(), "ingest_date": day}).select(*schema.stored(signal).names)
+        day = ingest_date or datetime.now(timezone.utc).date().isoformat()
+        rows_ = keys.with_head(envelopes, signal).withColumns({"tenant_id": whose, "ingest_seq": F.lit(seq).cast("bigint"), "ingest_row": F.monotonically_increasing_id(), "ingest_date": F.lit(day).cast("date")}).select(*schema.stored(signal).names)
         self._append(signal, rows_)
+        if signal == "traces" and self.index:  # from what was written, so that the source is read once
+            self._index(self.table("traces").where((F.col("ingest_date") == F.lit(day).cast("date")) & (F.col("ingest_seq") == seq)))
         self.folder.write(f"_versions/{seq}-{tag or uuid.uuid4().hex}", signal)
         return seq
 
+    def forget_versions(self, keep: int = 1000) -> int:
+        """Drop the records of all writes but the newest; a stream only ever repeats its last one."""
+        old = sorted(self.folder.names("_versions"), key=lambda n: int(n.split("-")[0]))[:-keep]
+        for n in old:
+            self.folder.delete(f"_versions/{n}")
+        return len(old)
+
     def write_traces(self, envelopes: DataFrame, tenant: str | None = None, **more) -> int:
         return self.write("traces", envelopes, tenant, **more)
 
@@ -107,10 +117,6 @@ class Store:
         # a rebalance gathers a small partition's rows and splits a large one's, by size and not by key
         out = df.hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, *ORDER[signal])
         out.write.mode("append").partitionBy(*PLACE).parquet(f"{self.root}/{signal}")
-        if signal == "traces" and self.index:
-            seq = df.agg(F.max("ingest_seq")).first()[0]
-            if seq is not None:
-                self._index(self.table("traces").where(F.col("ingest_seq") == seq))
 
     def _index(self, traces: DataFrame) -> None:
         ids = traces.select("tenant_id", "ingest_date", F.explode(F.array_distinct(F.transform(keys.elements("traces"), lambda s: s["trace_id"]))).alias("trace_id")).where("trace_id is not null").distinct()
