@@ -9,6 +9,8 @@ from quillon.llm import decontaminate, jaccard, line_dedup, packing, quality
 from quillon.llm.text import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Ids of documents that go are broadcast up to this number (16 MB); beyond it they are joined by shuffle.
+MOST_IDS = 1_000_000
 #: None: SQL cannot express the trained classifier of the first stage.
 ORACLE_SQL = None
 
@@ -32,11 +34,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Rows with one doc_id are one document: the first of their texts, in
-    order, stays.  Documents without words or id link with nothing and stay.
+    Of rows with one doc_id one stays.  Documents without words link with
+    nothing, and those without an id are never the ones that go: they stay.
     """
-    gone = jaccard.join(docs.select("doc_id", "text")).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    gone = stored(jaccard.join(docs.select("doc_id", "text")).where("component_id != doc_id").select("doc_id").distinct(), "gone")
+    small = gone.count() <= MOST_IDS
+    rest = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rest
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.where("doc_id is null"))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
