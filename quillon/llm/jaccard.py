@@ -11,7 +11,7 @@ is cut away first, by bounds that lose no pair:
 2. A row with n shingles needs ceil(t * n) shared ones to reach similarity t
    with any other.  Most documents end here.
 3. Rows that are similar share a shingle among the first n - ceil(t * n) + 1
-   of each in any one order; here unshared ones come first, then by hash.
+   of each in any one order; here unshared ones come first, then rare ones.
    Components under "shares one of these" are the blocks of the product.
 4. In a block, overlap counts are accumulated column by column for rare
    columns and as a dense product for frequent ones; pairs below the overlap
@@ -87,50 +87,47 @@ def _meta(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, n bigint, id bigint")
 
 
-_DEALT = "k bigint, ids binary, ns binary, counts binary, hashes binary"
+_DEALT = "k bigint, b bigint, counts binary, hashes binary, marks binary, ids binary, ns binary, often binary, marks_often binary"
 
 
-def _row(k, ids, ns, counts, hashes) -> dict:
-    return {"k": int(k), "ids": ids.astype(np.int64).tobytes(), "ns": ns.astype(np.uint32).tobytes(), "counts": counts.astype(np.uint32).tobytes(), "hashes": hashes.astype(np.uint64).tobytes()}
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers byte plane by byte plane: planes of small numbers are zeros, which shuffles compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"k": pa.int64(), "ids": pa.binary(), "ns": pa.binary(), "counts": pa.binary(), "hashes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
+def _numbers(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _pack(dest: np.ndarray, ids: np.ndarray, ns: np.ndarray, hashes: np.ndarray, keys: np.ndarray):
-    """One row per destination, of postings that are sorted by id."""
-    order = np.argsort(dest, kind="stable")
-    dest, ids, ns, hashes = dest[order], ids[order], ns[order], hashes[order]
-    cut = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1]))) if len(dest) else np.empty(0, int)
-    for a, b in zip(cut, [*cut[1:], len(dest)]):
-        new = np.flatnonzero(np.concatenate(([True], ids[a + 1 : b] != ids[a : b - 1])))
-        yield _row(keys[dest[a]], ids[a:b][new], ns[a:b][new], np.diff([*new, b - a]), hashes[a:b])
+def _row(k: int, b: int, counts, hashes, marks=b"", ids=b"", ns=b"", often=b"", marks_often=b"") -> tuple:
+    return int(k), int(b), _planes(counts), hashes.tobytes(), marks, ids, ns, often, marks_often
 
 
-def _unpack(table: pa.Table):
-    """ids, ns and hashes of the postings of a group."""
-    get = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-    counts = get("counts", np.uint32)
-    return np.repeat(get("ids", np.int64), counts), np.repeat(get("ns", np.uint32), counts), get("hashes", np.uint64)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
-def _even_keys(spark, parts: int) -> np.ndarray:
-    """For each of so many partitions a key that Spark's hash sends to it, so that ranges are dealt evenly."""
-    ids = spark.range(0, 40 * parts + 200).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
-    found = {r.p: r.id for r in ids.collect()}
-    return np.array([found.get(p, p) for p in range(parts)], np.int64)
+def _even_keys(spark, parts: int, each: int) -> np.ndarray:
+    """For each of so many partitions some keys that Spark's hash sends to it, so that ranges are dealt evenly."""
+    ids = spark.range(0, 40 * parts * each + 400).select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("p")).groupBy("p").agg(F.slice(F.array_sort(F.collect_list("id")), 1, each).alias("ids"))
+    return np.array([x for r in ids.collect() for x in r.ids], np.int64)
 
 
 def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
-    """Packed postings: to the task of a hash (k >= 0), or straight to the task of a row (k < 0)."""
+    """Packed postings of batches b: to the task of a hash (k >= 0), or on the way home (k < 0).
+
+    The home row of a batch has the ids and sizes of its rows, and the
+    shingles that are known to be shared; a mark of each of these goes to the
+    task of its hash.  There, the number of postings and marks of a hash says
+    how often it is, in a way that is the same for all rows.
+    """
     parts = np.uint64(len(keys))
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
-            for _, data, bounds in pieces(b.column(0), 1 << 22):
+        for batch in batches:
+            for _, data, bounds in pieces(batch.column(0)):
                 row, g, n, _, own = _sets(data, bounds, k)
                 fresh = np.zeros(len(n), bool)
                 for i, x in enumerate(own.tolist()):
@@ -139,78 +136,111 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
                         seen.add(x)
                 if len(seen) > SEEN:
                     seen.clear()
-                pick = fresh[row]
-                row, g = row[pick], g[pick]
-                if not len(g):
+                m = int(fresh.sum())
+                if not m:
                     continue
-                order = np.argsort(g, kind="stable")
-                s = g[order]
-                same = np.zeros(len(s), bool)
-                same[1:] = s[1:] == s[:-1]
-                twice = same.copy()
-                twice[:-1] |= same[1:]
+                pick = fresh[row]
+                row, g, ids, ns = (np.cumsum(fresh) - 1)[row[pick]], g[pick], own[fresh], n[fresh]
+                order = np.argsort(g)
+                same = np.zeros(len(g), bool)
+                same[1:] = g[order][1:] == g[order][:-1]
                 shared = np.zeros(len(g), bool)
-                shared[order] = twice
-                marks = s[twice & ~same]
-                ids, ns = own[row], n[row]
-                one = ~shared
-                dest = lambda h: ((h >> np.uint64(33)) % parts).astype(np.int64)
-                rows = list(_pack(np.concatenate((dest(g[one]), dest(marks))), np.concatenate((ids[one], np.zeros(len(marks), np.int64))), np.concatenate((ns[one], np.zeros(len(marks), np.int64))), np.concatenate((g[one], marks)), keys))
-                home = (ids[shared].view(np.uint64) % parts).astype(np.int64)
-                rows += list(_pack(home, ids[shared], ns[shared], g[shared], -1 - keys))
+                shared[order] = same
+                shared[order[:-1]] |= same[1:]
+                marks = np.unique(g[order][same])
+                b = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(m)], np.uint64)).view(np.int64)[0])
+                home = keys[b % len(keys)]
+                rows = [_row(-1 - home, b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns))]
+                row, g = row[~shared], g[~shared]
+                dest = ((g >> np.uint64(33)) % parts).astype(np.int64)
+                order = np.argsort(dest, kind="stable")
+                cut = np.searchsorted(dest[order], np.arange(len(keys) + 1))
+                to = ((marks >> np.uint64(33)) % parts).astype(np.int64)
+                mark_order = np.argsort(to, kind="stable")
+                mark_cut = np.searchsorted(to[mark_order], np.arange(len(keys) + 1))
+                for i in range(len(keys)):
+                    part, own_marks = order[cut[i] : cut[i + 1]], marks[mark_order[mark_cut[i] : mark_cut[i + 1]]]
+                    if len(part) or len(own_marks):
+                        rows.append(_row(keys[i], b, np.bincount(row[part], minlength=m) if len(part) else np.empty(0, int), g[part], own_marks.tobytes()))
                 yield _batch(rows)
 
     return docs.select(text).mapInArrow(run, _DEALT)
 
 
-def _shared(dealt: DataFrame, keys: np.ndarray) -> DataFrame:
-    """Postings of shared shingles, on their way to the tasks of their rows."""
-    parts = np.uint64(len(keys))
-
+def _shared(dealt: DataFrame) -> DataFrame:
+    """Postings of shared shingles, on their way to the tasks of their batches."""
     def run(table: pa.Table) -> pa.Table:
         if table.column("k")[0].as_py() < 0:
             return table
-        ids, ns, g = _unpack(table)
-        order = np.lexsort((ids, g))
-        ids, ns, g = ids[order], ns[order], g[order]
-        # a mark (n = 0) stands for rows of one batch; equal ids are copies of one row
-        edge = np.concatenate(([True], g[1:] != g[:-1]))
-        other = np.concatenate(([False], (g[1:] == g[:-1]) & (ids[1:] != ids[:-1])))
-        group = np.cumsum(edge) - 1
-        marked = np.bincount(group, weights=ns == 0) > 0
-        several = np.bincount(group, weights=other) > 0
-        keep = (marked | several)[group] & (ns > 0)
-        ids, ns, g = ids[keep], ns[keep], g[keep]
-        order = np.argsort(ids, kind="stable")
-        ids, ns, g = ids[order], ns[order], g[order]
-        rows = list(_pack((ids.view(np.uint64) % parts).astype(np.int64), ids, ns, g, -1 - keys))
-        return pa.Table.from_batches([_batch(rows)])
+        bs = table.column("b").to_pylist()
+        counts = [_numbers(x) for x in table.column("counts").to_pylist()]
+        rows = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint64)
+        marks = [np.frombuffer(x, np.uint64) for x in table.column("marks").to_pylist()]
+        del table
+        g = np.concatenate((rows, *marks))
+        order = np.argsort(g)
+        first = np.flatnonzero(np.concatenate(([True], g[order[1:]] != g[order[:-1]]))) if len(g) else np.empty(0, int)
+        times = np.diff(np.concatenate((first, [len(g)])))
+        often = np.empty(len(g), np.uint32)
+        often[order] = np.repeat(times, times)
+        del g, order, first, times
+        keep = np.flatnonzero(often[: len(rows)] > 1)
+        kept, kept_often = rows[keep], often[keep]
+        # the row of a batch that each kept posting is of, from the counts of its batch
+        size = np.array([c.sum() for c in counts], np.int64)
+        cut = np.searchsorted(keep, np.concatenate(([0], np.cumsum(size))))
+        out, at, mark_at = [], 0, len(rows)
+        for i, (b, c, m) in enumerate(zip(bs, counts, marks)):
+            part, mark_often = slice(cut[i], cut[i + 1]), often[mark_at : mark_at + len(m)]
+            more = mark_often > 1
+            if cut[i] < cut[i + 1] or more.any():
+                own = np.repeat(np.arange(len(c)), c)[keep[part] - at]
+                out.append(_row(0, b, np.bincount(own, minlength=len(c)), kept[part], m[more].tobytes(), often=_planes(kept_often[part]), marks_often=_planes(mark_often[more])))
+            at += int(size[i])
+            mark_at += len(m)
+        return pa.Table.from_batches([_batch(out)])
 
     return dealt.groupBy("k").applyInArrow(run, _DEALT)
 
 
 def _survivors(shared: DataFrame, percent: int) -> DataFrame:
-    """Rows with enough shared shingles: id, n, hashes (sorted), and those of the prefix that are shared."""
+    """Rows with enough shared shingles: id, n, hashes (rare ones first), and those of the prefix that are shared.
+
+    A set that several batches dealt may be there more than once.
+    """
     def run(table: pa.Table) -> pa.Table:
-        ids, ns, g = _unpack(table)
-        order = np.lexsort((g, ids))
-        ids, ns, g = ids[order], ns[order].astype(np.int64), g[order]
+        out: dict[str, list] = {"id": [], "n": [], "hashes": [], "prefix": []}
+        home = next((r for r in table.select(["ids", "ns"]).to_pylist() if r["ids"]), None)
+        ids, ns = np.frombuffer(home["ids"], np.int64), _numbers(home["ns"])
+        own, gs, often, marks, marks_often = [], [], [], [], []
+        for r in table.select(["counts", "hashes", "often", "marks", "marks_often"]).to_pylist():
+            c = _numbers(r["counts"])
+            own.append(np.repeat(np.arange(len(c)), c))
+            gs.append(np.frombuffer(r["hashes"], np.uint64))
+            often.append(_numbers(r["often"]) if r["often"] else np.ones(len(gs[-1]), np.int64))
+            marks.append(np.frombuffer(r["marks"], np.uint64))
+            marks_often.append(_numbers(r["marks_often"]))
+        own, g, often = map(np.concatenate, (own, gs, often))
+        marks, at = np.unique(np.concatenate(marks), return_index=True)
+        if len(marks):  # shingles that were shared in this batch get their count from elsewhere
+            place = np.minimum(np.searchsorted(marks, g), len(marks) - 1)
+            often = np.where(marks[place] == g, np.concatenate(marks_often)[at][place], often)
+        order = np.lexsort((g, often, own))
+        own, g = own[order], g[order]
         new = np.ones(len(g), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (g[1:] != g[:-1])
-        ids, ns, g = ids[new], ns[new], g[new]
-        cut = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, int)
-        size = np.diff([*cut, len(ids)])
-        keep = np.flatnonzero(size >= _needed(ns[cut], percent))
-        out = {"id": [], "n": [], "hashes": [], "prefix": []}
-        for i in keep.tolist():
-            a, m, n = int(cut[i]), int(size[i]), int(ns[cut[i]])
-            out["id"].append(int(ids[a]))
+        new[1:] = (own[1:] != own[:-1]) | (g[1:] != g[:-1])  # if a batch was dealt twice
+        own, g = own[new], g[new]
+        size = np.bincount(own, minlength=len(ids))
+        first = np.concatenate(([0], np.cumsum(size)))
+        for i in np.flatnonzero(size >= _needed(ns, percent)).tolist():
+            a, m, n = int(first[i]), int(size[i]), int(ns[i])
+            out["id"].append(int(ids[i]))
             out["n"].append(n)
             out["hashes"].append(g[a : a + m].tobytes())
             out["prefix"].append(g[a : a + m - int(_needed(n, percent)) + 1].view(np.int64))
         return pa.table([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["hashes"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
 
-    return shared.groupBy("k").applyInArrow(run, "id bigint, n bigint, hashes binary, prefix array<bigint>")
+    return shared.groupBy("b").applyInArrow(run, "id bigint, n bigint, hashes binary, prefix array<bigint>")
 
 
 def product(n: np.ndarray, rows: list[bytes], percent: int, left: np.ndarray | None = None) -> np.ndarray:
@@ -268,7 +298,8 @@ def product(n: np.ndarray, rows: list[bytes], percent: int, left: np.ndarray | N
 def _edges(grouped, percent: int) -> DataFrame:
     """Links (u, v) that span what each group's product joins.  Columns: id, n, hashes, left."""
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
+        _, one = np.unique(table.column("id").to_numpy(), return_index=True)
+        table = table.take(pa.array(one))
         n, ids = table.column("n").to_numpy(), table.column("id").to_numpy()
         left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
         label = product(n, table.column("hashes").to_pylist(), percent, None if left.all() else left)
@@ -323,10 +354,9 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = partitions(spark)
-    keys = _even_keys(spark, parts)
+    keys = _even_keys(spark, partitions(spark), 2)
     meta = stored(_meta(docs, doc_id, text, k), "sets")
-    rows = stored(_survivors(_shared(_deal(docs, text, k, keys), keys), percent), "rows")
+    rows = stored(_survivors(_shared(_deal(docs, text, k, keys)), percent), "rows")
     prefix = rows.select("id", F.explode("prefix").alias("hash"))
     low = prefix.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
     blocks = components(prefix.join(low, "hash").where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")))

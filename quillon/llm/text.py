@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handled at once, in bytes; a longer text is handled alone, whole.
-PIECE = 1 << 21
+PIECE = 1 << 20
 #: Rows of one Arrow batch for operators over texts.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _P = 0x9E3779B97F4A7C15 | 1
