@@ -1,8 +1,17 @@
-"""python -m quillon serve|sweep|dump: ingest and answer, maintain once, or print framed records."""
+"""python -m quillon COMMAND
+
+serve [CONFIG]   ingest what lands and answer over HTTP
+sweep [CONFIG]   retention and compaction, once
+dump DIR         framed log records
+send DIR         land one trace request with one span
+"""
 
 from __future__ import annotations
 
+import json
+import secrets
 import sys
+import time
 from datetime import date
 
 from .config import load
@@ -15,12 +24,18 @@ from .streaming.ingest import start_ingest
 
 
 def main(args: list[str]) -> int:
-    if not args or args[0] not in ("serve", "sweep", "dump"):
+    if not args or args[0] not in ("serve", "sweep", "dump", "send"):
         print(__doc__)
         return 2
     if args[0] == "dump":
         framed_log.tolerant(session(), args[1]).selectExpr("path", "offset", "length(payload) AS bytes").show(1000, False)
         return 0
+    if args[0] == "send":
+        now = time.time_ns()
+        span = {"traceId": secrets.token_hex(16), "spanId": secrets.token_hex(8), "name": "test-span", "kind": 1, "startTimeUnixNano": str(now), "endTimeUnixNano": str(now + 1_000_000)}
+        resource = {"attributes": [{"key": "service.name", "value": {"stringValue": "test-service"}}]}
+        session().createDataFrame([(json.dumps({"resourceSpans": [{"resource": resource, "scopeSpans": [{"spans": [span]}]}]}),)], "value string").coalesce(1).write.mode("append").text(args[1])
+        return 0
     config = load(args[1] if len(args) > 1 else None)
     with Store(session(), config.data_dir, config.resolver) as store:
         if args[0] == "sweep":

@@ -123,6 +123,18 @@ class Store:
         writer = ids.select("tenant_id", "trace_id", "ingest_date").hint("rebalance", "tenant_id").sortWithinPartitions("tenant_id", "trace_id").write.mode("append")
         writer.option("parquet.bloom.filter.enabled#trace_id", "true").partitionBy("tenant_id").parquet(f"{self.root}/trace_index")
 
+    def rebuild_index(self) -> None:
+        """Make the trace index anew from the traces that are stored."""
+        old, staged = self.root, f"_staging/{uuid.uuid4().hex}"
+        traces = self.table("traces")
+        self.root = f"{old}/{staged}"
+        try:
+            self._index(traces)
+        finally:
+            self.root = old
+        self.folder.swap(staged, ["trace_index"])
+        self.spark.catalog.refreshByPath(f"{self.root}/trace_index")
+
     # reads
 
     def read(self, request: Request, dedup: bool = False, policy: list[dict] | None = None, principal: str = "", as_of: int | None = None) -> DataFrame:
@@ -203,3 +215,12 @@ class Store:
     def sort_keys(self, signal: str) -> DataFrame:
         """Keys of all rows in their order."""
         return self.table(signal).select(keys.text_key(signal).alias("key")).orderBy("key")
+
+
+class IngestStore(Store):
+    """A store that takes writes only: what lands is durable, and every read is refused."""
+
+    def read(self, *_, **__):
+        raise PermissionError("this store is for ingestion only")
+
+    read_traces = read_logs = read_metrics = read_trace_by_id = count = read
