@@ -25,10 +25,10 @@ MIN_VALUE = 8
 #: Runs that the Markov models judge, and the least log-likelihood ratio of a character (in thousandths of a nat).
 RUN, LEAST = "[A-Za-z0-9_]{20,}", 250
 KINDS = ("assign", "access", "hex", "random")
-#: Characters by class: digits, letters without regard to case, and the rest are states; a change of case is an own feature.
+#: States of the models: the characters of a run.
 STATES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"
 #: Ordinary identifiers are made of these.  Fixed values.
-PARTS = "account address amount array async base batch block buffer build cache call client close code column commit config connection content context count create current customer data date default delete description device document domain element email entry error event export factory field file filter find first format from function generate get group handler header height host image import index info input instance interface internal invoice item key label last length level license line link list load local location lock log main manager map message method model module name network next node number object offset option order output owner page parameter parent parse path payment permission person position post previous process product profile property protocol provider public query queue range read record reference region register release remote remove render report request resource response result return role route row sample schedule schema scope search section select send sequence server service session set setting shipping size sort source start state status step store stream string structure submit supplier support switch system table target task template test text thread time title token total trace transaction transfer tree trigger type update upload user validate value vector version view window with work worker write zone".split()
+PARTS = "account address amount async base batch buffer build cache client close code commit config connection context count create customer data date delete description device domain element email error event export field file filter first format from generate get group header height host import index info instance interface internal item key label length level license link list load location lock log manager map message model module name next node number offset option order owner page parameter parse path payment person position post process product profile protocol provider public queue range read reference region register remote remove render request resource response return role route sample schedule schema search section select sequence server service set setting shipping sort source start status step store string structure submit support switch system target task template text thread time token total trace transfer tree trigger update upload user value vector version window with work write zone".split()
 
 
 def samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
@@ -46,9 +46,9 @@ def samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
 def train(labelled: list[tuple[str, int]] | None = None) -> list[int]:
     """log P(next | state, random) - log P(next | state, ordinary) in thousandths, by state and next character.
 
-    Counts are smoothed with one of each, so no transition is impossible.
-    Ordinary transitions also mix with the letter frequencies of the sample,
-    since words of other languages have transitions the sample lacks.
+    Transitions are mixed with the frequencies of single characters, so that
+    none is impossible and words of other languages, with transitions that
+    the sample lacks, stay ordinary.
     """
     labelled = samples() if labelled is None else labelled
     k, at = len(STATES), {c: i for i, c in enumerate(STATES)}
@@ -67,7 +67,6 @@ def train(labelled: list[tuple[str, int]] | None = None) -> list[int]:
             for b in range(k):
                 back = one[y][b] / total
                 prob[y][a][b] = (pair[y][a][b] + 20 * back) / (seen + 20)
-    # digits after digits and letters of one case after each other are usual in both; the table keeps what differs
     return [round(1000 * math.log(prob[1][a][b] / prob[0][a][b])) for a in range(k) for b in range(k)]
 
 
