@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import sql_lower
+from .text import sql_lower, stored
 
 BLANK = " \t\n\x0b\x0c\r"
 #: A line goes when its key stands in this many documents and has this many code points.
@@ -47,6 +47,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs:
     keys = F.array_distinct(F.transform("lines", line_key))
     counted = rows.select(F.explode(keys).alias("key")).where(F.char_length("key") >= min_key).select(*_id(F.col("key")))
     counted = counted.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
+    # as a table of known size: a small one is broadcast, and a large one leaves the join free to split a very common line
+    counted = stored(counted, "lines")
     placed = rows.select("d1", "d2", F.posexplode("lines").alias("pos", "line"))
     placed = placed.select("d1", "d2", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= min_key).select("d1", "d2", "pos", *_id(F.col("key")))
     gone = placed.join(counted, ["h1", "h2"], "left_semi").groupBy("d1", "d2").agg(F.collect_set("pos").alias("__gone"))
