@@ -56,6 +56,22 @@ def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(1, bounds[1:] - bounds[:-1]).reshape(-1, *[1] * (values.ndim - 1))
 
 
+def _all_bags(texts: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """bags() of many words, part by part, in less memory."""
+    flat, bounds, at = [], [np.zeros(1, np.int64)], 0
+    for lo in range(0, len(texts), step):
+        f, b = bags(texts[lo : lo + step])
+        flat.append(f.astype(np.int32))
+        bounds.append(b[1:] + at)
+        at += len(f)
+    return np.concatenate(flat), np.concatenate(bounds)
+
+
+def _values(table: np.ndarray, bias: float, flat: np.ndarray, bounds: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """The logit of each word, part by part."""
+    return np.concatenate([_means(table[flat[bounds[lo] : bounds[min(lo + step, len(bounds) - 1)]]], bounds[lo : lo + step + 1] - bounds[lo]) for lo in range(0, len(bounds) - 1, step)]) + bias
+
+
 class Model:
     """Embeddings and softmax; after ``finish`` one number a bucket."""
 
@@ -104,16 +120,20 @@ def _top(z: np.ndarray, ids: list[np.ndarray]) -> np.ndarray:
     return np.array([z[i].max() for i in ids])
 
 
-def fit(docs: list[tuple[list[str], int]], rounds: int = 8, prior: float | None = None, seed: int = 11) -> dict:
-    """Train on documents as lists of distinct words with labels; prior: share of toxic ones to calibrate for."""
+def fit(docs: list[tuple[list[str] | str, int]], rounds: int = 8, prior: float | None = None, seed: int = 11) -> dict:
+    """Train on documents as their distinct words (a list, or joined by spaces) with labels.
+
+    prior: share of toxic documents to calibrate for.
+    """
     docs = [d for d in docs if d[0]]
     y = np.array([t for _, t in docs], int)
     if len(docs) == 0 or y.min() == y.max():
         return {"table": np.zeros(1 << BUCKET_BITS, np.float32), "bias": 0.0, "scale": 1.0, "shift": 4.0 if len(docs) and y[0] else -4.0}
     vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in ws], np.int64) for ws, _ in docs]
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in (ws.split(" ") if isinstance(ws, str) else ws)], np.int32) for ws, _ in docs]
+    del docs
     model = Model(seed)
-    flat, bounds = bags(list(vocab))
+    flat, bounds = _all_bags(list(vocab))
     # each class gives its share to calibration, as far as it has enough documents
     rank = np.zeros(len(y), int)
     for k in (0, 1):
@@ -129,7 +149,7 @@ def fit(docs: list[tuple[list[str], int]], rounds: int = 8, prior: float | None
     clean = np.flatnonzero(neg > 0)
     for _ in range(rounds):
         table, bias = model.scalars()
-        z = _means(table[flat], bounds) + bias
+        z = _values(table, bias, flat, bounds)
         # then toxic documents by their most toxic word that no clean one has, clean ones by all, hard ones twice
         own = np.where(neg > 0, -np.inf, z)
         chosen = np.array([i[own[i].argmax()] for i in toxic if np.isfinite(own[i]).any()], np.int64)
@@ -139,7 +159,7 @@ def fit(docs: list[tuple[list[str], int]], rounds: int = 8, prior: float | None
         model.learn(flat, bounds, np.concatenate((chosen, hard, some)), target, np.ones(len(target)), 0.2)
     table, bias = model.scalars()
     rest = ~learn if (~learn).any() else learn
-    top = _top(_means(table[flat], bounds) + bias, [i for i, u in zip(ids, rest) if u])
+    top = _top(_values(table, bias, flat, bounds), [i for i, u in zip(ids, rest) if u])
     t = y[rest].astype(float)
     share = t.mean() if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
     weight = np.where(t == 1, share / max(t.mean(), 1e-9), (1 - share) / max(1 - t.mean(), 1e-9))
@@ -201,15 +221,18 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def distinct(batches):
         for b in batches:
-            out: list = [[] for _ in range(b.num_rows)]
+            out = [""] * b.num_rows
             for lo, data, bounds in pieces(b.column(2)):
                 start, end, row, _ = words(data, bounds, "alnum")
                 low = data.tobytes().lower()
+                own: dict[int, dict[bytes, None]] = {}
                 for s, e, r in zip(start.tolist(), end.tolist(), row.tolist()):
-                    out[lo + r].append(low[s:e].decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(dict.fromkeys(ws)) for ws in out], pa.list_(pa.string()))], names=["i", "y", "words"])
+                    own.setdefault(r, {})[low[s:e]] = None
+                for r, ws in own.items():
+                    out[lo + r] = b" ".join(ws).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["i", "y", "words"])
 
-    got = rows.mapInArrow(distinct, "i bigint, y int, words array<string>").collect()
+    got = rows.mapInArrow(distinct, "i bigint, y int, words string").collect()
     return fit([(r.words, r.y) for r in sorted(got, key=lambda r: (r.i, r.y, r.words))], prior=share)
 
 
