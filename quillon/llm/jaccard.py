@@ -37,6 +37,8 @@ SHINGLE, PERCENT = 5, 75
 BLOCK = 3000
 #: Rows of a large component that every part of it sees, in order to be connected early.
 HUBS = 64
+#: A batch is dealt once it has so many postings for each range of hashes, so that rows stay few; at most so many in all.
+LEAST_IN_RANGE, MOST_POSTINGS = 32, 4_000_000
 #: Ids of sets that a task remembers, to deal each of them once.
 SEEN = 200_000
 
@@ -123,9 +125,31 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
     how often it is, in a way that is the same for all rows.
     """
     parts = np.uint64(len(keys))
+    enough = min(MOST_POSTINGS, LEAST_IN_RANGE * len(keys))
+
+    def packed(row, g, ids, ns):
+        m, order = len(ids), np.argsort(g)
+        same = np.zeros(len(g), bool)
+        same[1:] = g[order][1:] == g[order][:-1]
+        shared = np.zeros(len(g), bool)
+        shared[order] = same
+        shared[order[:-1]] |= same[1:]
+        marks = np.unique(g[order][same])
+        b = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(m)], np.uint64)).view(np.int64)[0])
+        rows = [_row(-1 - keys[b % len(keys)], b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns))]
+        row, g = row[~shared], g[~shared]
+        dest, to = (((x >> np.uint64(33)) % parts).astype(np.int64) for x in (g, marks))
+        order, mark_order = np.argsort(dest, kind="stable"), np.argsort(to, kind="stable")
+        cut, mark_cut = (np.searchsorted(x, np.arange(len(keys) + 1)) for x in (dest[order], to[mark_order]))
+        for i in np.flatnonzero((cut[1:] > cut[:-1]) | (mark_cut[1:] > mark_cut[:-1])).tolist():
+            part = order[cut[i] : cut[i + 1]]
+            rows.append(_row(keys[i], b, np.bincount(row[part], minlength=m), g[part], marks[mark_order[mark_cut[i] : mark_cut[i + 1]]].tobytes()))
+        return _batch(rows)
 
     def run(batches):
         seen: set[int] = set()
+        held: list[tuple] = []
+        docs = postings = 0
         for batch in batches:
             for _, data, bounds in pieces(batch.column(0)):
                 row, g, n, _, own = _sets(data, bounds, k)
@@ -136,33 +160,16 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
                         seen.add(x)
                 if len(seen) > SEEN:
                     seen.clear()
-                m = int(fresh.sum())
-                if not m:
-                    continue
-                pick = fresh[row]
-                row, g, ids, ns = (np.cumsum(fresh) - 1)[row[pick]], g[pick], own[fresh], n[fresh]
-                order = np.argsort(g)
-                same = np.zeros(len(g), bool)
-                same[1:] = g[order][1:] == g[order][:-1]
-                shared = np.zeros(len(g), bool)
-                shared[order] = same
-                shared[order[:-1]] |= same[1:]
-                marks = np.unique(g[order][same])
-                b = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(m)], np.uint64)).view(np.int64)[0])
-                home = keys[b % len(keys)]
-                rows = [_row(-1 - home, b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns))]
-                row, g = row[~shared], g[~shared]
-                dest = ((g >> np.uint64(33)) % parts).astype(np.int64)
-                order = np.argsort(dest, kind="stable")
-                cut = np.searchsorted(dest[order], np.arange(len(keys) + 1))
-                to = ((marks >> np.uint64(33)) % parts).astype(np.int64)
-                mark_order = np.argsort(to, kind="stable")
-                mark_cut = np.searchsorted(to[mark_order], np.arange(len(keys) + 1))
-                for i in range(len(keys)):
-                    part, own_marks = order[cut[i] : cut[i + 1]], marks[mark_order[mark_cut[i] : mark_cut[i + 1]]]
-                    if len(part) or len(own_marks):
-                        rows.append(_row(keys[i], b, np.bincount(row[part], minlength=m) if len(part) else np.empty(0, int), g[part], own_marks.tobytes()))
-                yield _batch(rows)
+                if fresh.any():
+                    pick = fresh[row]
+                    held.append(((np.cumsum(fresh) - 1)[row[pick]] + docs, g[pick], own[fresh], n[fresh]))
+                    docs += int(fresh.sum())
+                    postings += int(pick.sum())
+                if postings >= enough:
+                    yield packed(*map(np.concatenate, zip(*held)))
+                    held, docs, postings = [], 0, 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held)))
 
     return docs.select(text).mapInArrow(run, _DEALT)
 
@@ -373,4 +380,6 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
     classes = meta.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
     least = linked.join(classes, "id").groupBy("root").agg(F.min("rep").alias("least"))
     named = classes.join(linked.join(least, "root").select("id", "least"), "id", "left").select("id", F.coalesce("least", "rep").alias("component_id"))
+    # both sides of the last join are tables, so that the rows of a set with very many copies are split
+    named = stored(named, "named")
     return meta.join(named, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
