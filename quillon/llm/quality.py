@@ -166,14 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def run(batches):
         for b, xt, xm in each(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xt.tolist(), pa.list_(pa.float64())), pa.array(xm.tolist(), pa.list_(pa.float64()))], names=["i", "y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (xt, xm))], names=["i", "y", "t", "m"])
 
-    got = sorted(rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, y int, t array<double>, m array<double>").collect())
+    got = sorted(rows.mapInArrow(run, f"i {rows.schema['i'].dataType.simpleString()}, y int, t binary, m binary").collect())
     if not got:
         return cotrain(*[np.empty((0, 1))] * 2, np.empty(0), *[np.empty((0, 1))] * 2, 0.5)
     y = np.array([r.y for r in got])
-    xt = np.array([r.t for r in got]).reshape(len(got), -1)
-    xm = np.array([r.m for r in got]).reshape(len(got), -1)
+    xt, xm = (np.frombuffer(b"".join(x), np.float64).reshape(len(got), -1) for x in ([r.t for r in got], [r.m for r in got]))
+    del got
     prior = n.get(1, 0) / max(1, n.get(0, 0) + n.get(1, 0))
     return cotrain(xt[y >= 0], xm[y >= 0], y[y >= 0], xt[y < 0], xm[y < 0], min(max(prior, 0.01), 0.99))
 

@@ -23,7 +23,16 @@ BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _P = 0x9E3779B97F4A7C15 | 1
-_CACHE: dict = {}
+
+
+class _Own(dict):
+    """What a process makes for itself: functions that are sent to executors take none of it along."""
+
+    def __reduce__(self):
+        return _Own, ()
+
+
+_CACHE = _Own()
 
 
 def _tables() -> dict:
