@@ -110,6 +110,14 @@ def _root(label: np.ndarray, i: int) -> int:
     return i
 
 
+def _roots(label: np.ndarray, at: np.ndarray) -> np.ndarray:
+    while True:
+        up = label[at]
+        if (up == at).all():
+            return up
+        at = up
+
+
 def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links by row of x and of y (weighted by copies nx, ny), and a label joining the rows of both.
 
@@ -143,6 +151,12 @@ def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray |
             for j in np.flatnonzero(hit.any(0)).tolist():
                 i, k = _root(label, int(rows[hit[:, j].argmax()])), _root(label, int(q[j]) + shift)
                 label[max(i, k)] = min(i, k)
+            # hits between what the first ones of each row and column did not join
+            of_rows, of_q = _roots(label, rows[full]), _roots(label, q + shift)
+            i, j = np.nonzero(hit[full] & (of_rows[:, None] != of_q[None, :]))
+            for i, j in np.unique(np.stack((of_rows[i], of_q[j]), 1), axis=0).tolist():
+                i, j = _root(label, i), _root(label, j)
+                label[max(i, j)] = min(i, j)
     while True:
         up = label[label]
         if (up == label).all():

@@ -148,6 +148,31 @@ def test_vectors_of_nothing_and_repeated_rows(spark):
     assert sorted(tuple(r) for r in rows) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def on_circle(degrees):
+    a = np.radians(degrees)
+    return np.stack((np.cos(a), np.sin(a)), 1)
+
+
+def test_links_of_a_chain_in_one_leaf(spark):
+    rows = [(i, [float(v) for v in e], 1) for i, e in enumerate(on_circle([0, 30, 10, 20]))]
+    got = sorted(tuple(r) for r in near_dup.pairs(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute_vectors(rows, 0.98) == [(0, 1, 0, True), (1, 1, 0, False), (2, 2, 0, False), (3, 2, 0, False)]
+
+
+@pytest.mark.parametrize("cut", [None, 7])
+def test_links_of_chains_in_any_order(cut):
+    rng = np.random.default_rng(9)
+    for n in (6, 12, 40, 300):
+        for _ in range(20):
+            x = on_circle(rng.permutation(n) * rng.choice([10.0, 4.0]) * 24 / n)
+            one = np.ones(n, np.int64)
+            k = n if cut is None else n * cut // 12
+            a, b, label = near_dup.links(x[:k], one[:k], x[k:] if cut else None, one[k:] if cut else None, 0.98)
+            hit = [(i, j) for i, j in np.argwhere(x @ x.T >= 0.98).tolist() if i > j and (cut is None or j < k <= i)]
+            assert label.tolist() == closure(n, hit)
+            assert a.tolist() + b.tolist() == np.bincount(np.array(hit, int).ravel(), minlength=n).tolist()
+
+
 def test_tree_covers_and_prunes():
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(30, 16)), 10, axis=0) + rng.normal(size=(300, 16)) * 0.02
