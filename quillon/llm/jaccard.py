@@ -135,7 +135,8 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
         shared[order] = same
         shared[order[:-1]] |= same[1:]
         marks = np.unique(g[order][same])
-        b = int(mix(np.array([np.bitwise_xor.reduce(mix(ids.view(np.uint64))) + np.uint64(m)], np.uint64)).view(np.int64)[0])
+        # postings name rows by their position, so batches of the same sets in another order are others
+        b = int(mix(np.array([mix(mix(ids.view(np.uint64)) + np.arange(m, dtype=np.uint64)).sum() + np.uint64(m)], np.uint64)).view(np.int64)[0])
         rows = [_row(-1 - keys[b % len(keys)], b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns))]
         row, g = row[~shared], g[~shared]
         dest, to = (((x >> np.uint64(33)) % parts).astype(np.int64) for x in (g, marks))

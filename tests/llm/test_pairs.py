@@ -80,6 +80,16 @@ def test_jaccard_of_nothing_and_repeated_rows(make):
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in rows) == [(0, 2, 4), (4, 2, 4), (4, 2, 4), (7, 0, 7)]
 
 
+def test_jaccard_of_the_same_texts_in_another_order(spark, make, prose):
+    a, b, c = prose(40, 1), prose(50, 2), prose(45, 3)
+    for order in ([a, b], [b, a]), ([a, b, c], [c, a, b]), ([a, b], [a, b]):
+        texts = [t for part in order for t in part]
+        both = spark.sparkContext.parallelize([(i, t) for i, t in enumerate(texts)], 2)
+        assert [len(x) for x in both.glom().collect()] == [len(x) for x in order]
+        got = sorted(tuple(r) for r in jaccard.join(spark.createDataFrame(both, "doc_id bigint, text string")).collect())
+        assert got == [(i, len(sets_of([t])[0]), texts.index(t)) for i, t in enumerate(texts)]
+
+
 def test_jaccard_at_the_bound(make):
     words = [f"w{i}" for i in range(60)]
     for cut in range(1, 14):
