@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import grams, pieces, small_batches, words
+from .text import grams, pieces, small_batches, stored, words
 
 WINDOW = 8
 #: Items of one broadcast block, and its bytes of text; a larger benchmark is scanned block by block.
@@ -90,8 +90,8 @@ def _cleaned(text: bytes, known: dict) -> bytes:
         text = _without(text, list(zip(start[a].tolist(), end[b - 1].tolist())))
 
 
-def _scan(docs: DataFrame, known: dict, text: str, clean: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def _scan(docs: DataFrame, shared, text: str, clean: bool) -> DataFrame:
+    """One pass with a broadcast block of windows."""
     keep = [c for c in docs.columns if c != text or not clean]
 
     def scan(batches):
@@ -144,30 +144,68 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     items count once.  Columns of ``docs`` with the names of results are
     replaced.
 
-    The benchmark is broadcast in blocks of bounded size.  With more than one
-    block the passes follow each other over the texts, and each adds its
-    items and spans to those of the passes before it.
+    The benchmark is broadcast in blocks of bounded size, and the result is
+    that of one block.  With more than one block the passes follow each other
+    over the original texts, and each adds its items and spans to those of the
+    passes before it.  With ``clean`` the words of all spans are then removed
+    together, and texts that lost words pass all blocks again, round by round;
+    the rounds run when this is called, and each stores its rows.
     """
     small_batches(docs.sparkSession)
-    base, out = docs.drop(*HITS.names), None
-    for block in _blocks(benchmark, item_id, item_text):
-        known = _windows(block, window)
-        if out is None:
-            out = _scan(base, known, text, clean)
-            continue
-        # the text of a later pass is the original one, or the one that is clean of the blocks before
-        old = {c: f"__{c}" for c in ("n_words", "spans", "items")}
-        again = out.withColumnsRenamed(old)
-        again = again.withColumnRenamed("clean_text", text) if clean else again.drop("clean_text")
-        again = _scan(again, known, text, clean)
+    base, send = docs.drop(*HITS.names), docs.sparkSession.sparkContext.broadcast
+    blocks = [send(_windows(b, window)) for b in _blocks(benchmark, item_id, item_text)] or [send({})]
+    if len(blocks) == 1:
+        return _scan(base, blocks[0], text, clean)
+    found = _passes(base, blocks, text)
+    if not clean:
+        return found
+    again = stored(_removed(found, text), "decontaminated")
+    columns, out = again.columns, again.where(F.size("spans") == 0)
+    # what was found in the original text goes with the row through the later rounds
+    first = F.struct(*(F.col(c) for c in HITS.names[:3])).alias(_FIRST)
+    again = again.select(*(c for c in columns if c not in HITS.names), first, F.col("clean_text").alias(text)).where(F.size(F.col(_FIRST)["spans"]) > 0)
+    while not again.isEmpty():
+        done = stored(_removed(_passes(again, blocks, text), text), "decontaminated")
+        result = [F.col(_FIRST)[c].alias(c) if c in HITS.names[:3] else F.col(c) for c in columns]
+        out = out.union(done.where(F.size("spans") == 0).select(*result))
+        again = done.where(F.size("spans") > 0).drop(*HITS.names[:3]).withColumnRenamed("clean_text", text)
+    return out
+
+
+_FIRST = "__first"
+
+
+def _passes(docs: DataFrame, blocks: list, text: str) -> DataFrame:
+    """Columns of ``docs`` with n_words, spans and items of all blocks in the text as it is, and no clean_text."""
+    out = _scan(docs, blocks[0], text, False)
+    old = {c: f"__{c}" for c in ("n_words", "spans", "items")}
+    for shared in blocks[1:]:
+        again = _scan(out.withColumnsRenamed(old).drop("clean_text"), shared, text, False)
         items = F.array_sort(F.array_distinct(F.concat("items", "__items")))
-        spans = F.col("__spans") if clean else _united(F.concat("spans", "__spans"))
-        out = again.withColumns({"items": items, "spans": spans, "n_words": F.col("__n_words")}).drop(*old.values())
-    if out is None:
-        out = _scan(base, {}, text, clean)
+        out = again.withColumns({"items": items, "spans": _united(F.concat("spans", "__spans")), "n_words": F.col("__n_words")}).drop(*old.values())
     return out
 
 
+def _removed(found: DataFrame, text: str) -> DataFrame:
+    """Columns of ``found`` without the text, and clean_text: the text without the words of the spans."""
+    keep = [c for c in found.columns if c not in (text, "clean_text")]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text))
+            spans, clean_text = batch.column(batch.schema.get_field_index("spans")).to_pylist(), column.to_pylist()
+            for lo, data, bounds in pieces(column):
+                start, end, row, _ = words(data, bounds, "alnum")
+                first = np.searchsorted(row, np.arange(len(bounds)))
+                for i in range(len(bounds) - 1):
+                    if spans[lo + i]:
+                        at = [(int(start[first[i] + s["start"]] - bounds[i]), int(end[first[i] + s["end"] - 1] - bounds[i])) for s in spans[lo + i]]
+                        clean_text[lo + i] = _without(data[bounds[i] : bounds[i + 1]].tobytes(), at).decode("utf-8", "surrogatepass")
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(clean_text, pa.string())], names=[*keep, "clean_text"])
+
+    return found.mapInArrow(run, T.StructType([*(found.schema[c] for c in keep), HITS["clean_text"]]))
+
+
 def _united(spans):
     """Overlapping or touching runs as one."""
     def step(acc, s):

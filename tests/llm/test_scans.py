@@ -170,6 +170,28 @@ def test_windows_of_nothing(spark, make):
     assert decontaminate.scan(make([]), none).count() == 0
 
 
+def test_blocks_of_the_benchmark_are_as_one(spark, make, prose, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d = prose(14, 71), prose(14, 72).split(), prose(8, 73).split(), prose(8, 74).split()
+    items = [(1, a), (2, a + " " + " ".join(b[:3])), (3, " ".join(b)), (4, " ".join(c)), (5, " ".join(d))]
+    texts = [None, "", "x " + a + " y", "x " + " ".join(a.split()[:10]) + " y", "p " + " ".join(b[:12]) + " q"]
+    texts.append("p " + " ".join(c[:4] + b + c[4:]) + " q")  # item 4 comes together when item 3 is removed
+    texts.append("p " + " ".join(d[:4] + c[:4] + b + c[4:] + d[4:]) + " q")  # and then item 5
+    texts += [a + " " + prose(20, 75), prose(30, 76)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bench, docs = spark.read.parquet(f"{tmp_path}/benchmark.parquet"), make(texts).repartition(2)
+    seen = {}
+    for block in (20_000, 2, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        found = decontaminate.scan(docs, bench, clean=True)
+        kept = corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path))
+        seen[block] = found.columns, sorted(map(str, found.collect())), sorted(map(str, kept.collect()))
+        ids, clean = {r.doc_id for r in kept.collect()}, {r.doc_id: r.clean_text for r in found.collect()}
+        assert ids == {0, 1, 4, 5, 6, 8} and clean[5].split() == clean[6].split() == ["p", "q"]
+    assert seen[20_000] == seen[2] == seen[1]
+
+
 # secrets
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
