@@ -34,15 +34,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id.
 
-    Of rows with one doc_id one stays.  Documents without words link with
-    nothing, and those without an id are never the ones that go: they stay.
+    Documents without words link with nothing, and those without an id are
+    never the ones that go: they stay.  Where ids are repeated, rows of one id
+    and text are one, and rows of one id with other texts are documents of
+    their own: each group keeps one row, whatever becomes of its id elsewhere.
     """
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near_copies_by_row(docs)
     gone = stored(jaccard.join(docs.select("doc_id", "text")).where("component_id != doc_id").select("doc_id").distinct(), "gone")
     small = gone.count() <= MOST_IDS
-    rest = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.where("doc_id is null"))
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def _near_copies_by_row(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the row with the smallest id, then the smallest hash of id and text, then the smallest values."""
+    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    linked = jaccard.join(rows.select("row", "text"), "row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    best = linked.join(rows.where("doc_id is not null").select("row", "doc_id").distinct(), "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    best = stored(best.select("best.row"), "best")
+    one = rows.where("doc_id is not null").groupBy("row").agg(F.min(F.struct(*COLUMNS)).alias("one"))
+    return one.join(best, "row", "left_semi").select("one.*").union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,21 @@ def test_stages(spark, folder, tmp_path):
         assert r.n_chars == len(r.text)
 
 
+def test_near_copies_of_repeated_ids(spark, make, prose, tmp_path):
+    a, b, c, d = (prose(60, 800 + k) for k in range(4))
+    # 5 and 7 have a near copy of 1 and texts unlike any other; 7 has two near copies of one text, and a row twice
+    rows = [(1, a), (5, a + " end"), (5, b), (7, c), (7, c + " end"), (7, d), (7, d), (7, a), (9, b), (None, a), (None, a), (8, ""), (8, None), (8, "")]
+    want = [(1, a), (5, b), (7, d), (None, a), (None, a), (8, ""), (8, None)]
+    seen = set()
+    for parts, order in ((1, rows), (3, rows), (2, rows[::-1])):
+        out = corpus_pipeline.near_copy_stage(spark, make([t for _, t in order], [i for i, _ in order]).repartition(parts), "")
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert sorted(map(str, (x for x in got if not (x[1] or "").startswith(c)))) == sorted(map(str, want))
+        assert len(got) == len(want) + 1
+        seen.add(str(sorted(map(str, got))))
+    assert len(seen) == 1
+
+
 def test_run_and_its_empty_tables(spark, folder, tmp_path):
     root, _ = folder
     assert corpus_pipeline.run(spark, root).count() > 0
