@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import stored
+
 CAPACITIES = (256, 512, 1024, 2048)
 #: What a sequence costs beside its length, in tokens.
 OVERHEAD = 16
@@ -94,10 +96,11 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     spark, top = docs.sparkSession, max(capacities)
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)) if length is None else F.coalesce(length, F.lit(0))
     sized = docs.select(F.col(doc_id).alias("doc_id"), n.cast("long").alias("n"), F.xxhash64(F.col(doc_id), F.col(text) if text in docs.columns else F.lit(0)).alias("h")).where("n > 0")
+    sized = stored(sized, "sizes")  # counted once, for the number of shards and for the pieces
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top)))
     pieces = sized.select("doc_id", "h", "n", cut.alias("piece")).select("doc_id", "h", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
-    # twice as many shards as rows need on average, as a long document is many pieces
-    shards = max(1, math.ceil(2 * docs.count() / shard))
+    total = sized.agg(F.sum(F.floor((F.col("n") - 1) / top) + 1)).first()[0] or 0
+    shards = max(1, math.ceil(total / shard))
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:

@@ -1,6 +1,7 @@
 """Classifiers and packing."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -147,6 +148,14 @@ def test_packing(make):
     assert [r.length for r in twice] == [2, 2] and {r.used for r in twice} == {4}
 
 
+def test_shards_of_few_long_documents(spark):
+    docs = spark.createDataFrame([(i, "", 20_000) for i in range(4)] + [(9, "", 3)], "doc_id bigint, text string, n bigint")
+    rows = packing.best_fit(docs, capacities=(16, 32), shard=100, length=F.col("n")).collect()
+    sizes = Counter(r.shard for r in rows)
+    assert len(rows) == 2501 and sum(r.length for r in rows) == 80_003
+    assert len(sizes) == 26 and max(sizes.values()) < 160
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(8)
     for _ in range(60):
