@@ -74,20 +74,28 @@ def _places(text: Column, pattern: str, kind: str, value: bool = False) -> Colum
     """Array of (start, kind number, kind, end, match) of leftmost non-overlapping matches."""
     got = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if value else got
-    between = F.split(text, pattern, -1)
-    number = F.lit(KINDS.index(kind))
-    rows = F.arrays_zip(F.transform(between, lambda x: F.char_length(x).cast("long")).alias("gap"), F.transform(got, lambda x: F.char_length(x).cast("long")).alias("size"), got.alias("match"), kept.alias("value"))
+    size = lambda xs: F.transform(xs, lambda x: F.char_length(x).cast("long"))
+    # a match ends after all gaps and matches up to it
+    sizes, gaps = size(got), F.slice(size(F.split(text, pattern, -1)), F.lit(1), F.greatest(F.lit(0), F.size(got)))
+    rows = F.arrays_zip(running_sums(F.zip_with(gaps, sizes, lambda a, b: a + b)).alias("end"), sizes.alias("size"), got.alias("match"), kept.alias("value"))
 
-    def step(acc, r):
-        start = acc["at"] + r["gap"]
-        end = start + r["size"]
-        place = F.struct(start.alias("start"), number.alias("number"), F.lit(kind).alias("kind"), end.alias("end"), r["match"].alias("match"), r["value"].alias("value"))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(r["size"].isNull(), acc["got"]).otherwise(F.concat(acc["got"], F.array(place))).alias("got"))
+    def place(r: Column) -> Column:
+        return F.struct((r["end"] - r["size"]).alias("start"), F.lit(KINDS.index(kind)).alias("number"), F.lit(kind).alias("kind"), r["end"].alias("end"), r["match"].alias("match"), r["value"].alias("value"))
 
-    nothing = F.lit([]).cast(_PLACE)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("got"))
-    out = F.aggregate(rows, zero, step, lambda acc: acc["got"])
-    return F.when(text.rlike(pattern), out).otherwise(nothing)
+    return F.when(text.rlike(pattern), F.transform(rows, place)).otherwise(F.lit([]).cast(_PLACE))
+
+
+def running_sums(xs: Column) -> Column:
+    """Sums of an array of bigints up to each element.
+
+    The array is added to itself, moved by 1, 2, 4, ... places: n elements
+    take log2(n) passes, and no array grows element by element.
+    """
+    def double(acc: Column, by: Column) -> Column:
+        return F.zip_with(acc, F.concat(F.array_repeat(F.lit(0).cast("long"), by), F.slice(acc, F.lit(1), F.size(acc) - by)), lambda a, b: a + b)
+
+    one = F.transform(F.array(xs), lambda x: F.aggregate(F.filter(F.lit([1 << k for k in range(31)]), lambda by: by < F.size(x)), x, double))
+    return F.get(one, F.lit(0))
 
 
 _PLACE = "array<struct<start:bigint,number:int,kind:string,end:bigint,match:string,value:string>>"
@@ -95,10 +103,16 @@ _PLACE = "array<struct<start:bigint,number:int,kind:string,end:bigint,match:stri
 
 def ratio(run: Column, table: list[int]) -> Column:
     """Sum over a run's characters of the trained log-likelihood ratios, in thousandths."""
-    k = len(STATES)
-    values = F.lit(table)
-    code = lambda i: F.instr(F.lit(STATES), F.substring(run, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(2), F.char_length(run)), F.lit(0), lambda acc, i: acc + F.element_at(values, (code(i - 1) - 1) * k + code(i)))
+    k, values = len(STATES), F.lit(table)
+    number = F.lit([max(0, STATES.find(chr(i))) for i in range(128)])
+
+    def total(codes: Column) -> Column:
+        n = F.size(codes) - 1
+        steps = F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: F.get(values, a * k + b))
+        return F.aggregate(steps, F.lit(0).cast("long"), lambda acc, x: acc + x)
+
+    codes = F.transform(F.split(run, ""), lambda c: F.get(number, F.ascii(c)))
+    return F.get(F.transform(F.array(codes), total), F.lit(0))
 
 
 def scan(docs: DataFrame, text: str = "text", table: list[int] | None = None, least: int = LEAST) -> DataFrame:
