@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import grams, pieces, small_batches, stored, words
+from .text import grams, pieces, stored, words
 
 WINDOW = 8
 #: Items of one broadcast block, and its bytes of text; a larger benchmark is scanned block by block.
@@ -151,7 +151,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     together, and texts that lost words pass all blocks again, round by round;
     the rounds run when this is called, and each stores its rows.
     """
-    small_batches(docs.sparkSession)
     base, send = docs.drop(*HITS.names), docs.sparkSession.sparkContext.broadcast
     blocks = [send(_windows(b, window)) for b in _blocks(benchmark, item_id, item_text)] or [send({})]
     if len(blocks) == 1:

@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import grams, mix, partitions, pieces, small_batches, stored, words
+from .text import grams, mix, partitions, pieces, stored, whole_ids, words
 
 SHINGLE, PERCENT = 5, 75
 #: Rows of one part of the product.
@@ -39,6 +40,9 @@ BLOCK = 3000
 HUBS = 64
 #: A batch is dealt once it has so many postings for each range of hashes, so that rows stay few; at most so many in all.
 LEAST_IN_RANGE, MOST_POSTINGS = 32, 4_000_000
+#: Documents of a batch, at most.
+MOST_DOCS = 100_000
+_ODD = 0x9E3779B97F4A7C15
 #: Ids of sets that a task remembers, to deal each of them once.
 SEEN = 200_000
 
@@ -76,20 +80,7 @@ def _needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def _meta(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(doc_id, n, id) of every document."""
-    def run(batches):
-        for b in batches:
-            n, ids = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            for lo, data, bounds in pieces(b.column(1)):
-                _, _, count, _, own = _sets(data, bounds, k)
-                n[lo : lo + len(count)], ids[lo : lo + len(count)] = count, own
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ids)], names=["doc_id", "n", "id"])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, n bigint, id bigint")
-
-
-_DEALT = "k bigint, b bigint, counts binary, hashes binary, marks binary, ids binary, ns binary, often binary, marks_often binary"
+_DEALT = "k bigint, b bigint, counts binary, hashes binary, marks binary, ids binary, ns binary, often binary, marks_often binary, docs binary, nulls binary, of binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -101,12 +92,12 @@ def _numbers(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _row(k: int, b: int, counts, hashes, marks=b"", ids=b"", ns=b"", often=b"", marks_often=b"") -> tuple:
-    return int(k), int(b), _planes(counts), hashes.tobytes(), marks, ids, ns, often, marks_often
+def _row(k: int, b: int, counts, hashes, marks=b"", ids=b"", ns=b"", often=b"", marks_often=b"", docs=b"", nulls=b"", of=b"") -> tuple:
+    return int(k), int(b), _planes(counts), hashes.tobytes(), marks, ids, ns, often, marks_often, docs, nulls, of
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 7]
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 10]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _DEALT.split(", ")])
 
 
@@ -116,18 +107,25 @@ def _even_keys(spark, parts: int, each: int) -> np.ndarray:
     return np.array([x for r in ids.collect() for x in r.ids], np.int64)
 
 
-def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
+def _deal(docs: DataFrame, doc_id: str, text: str, k: int, keys: np.ndarray) -> DataFrame:
     """Packed postings of batches b: to the task of a hash (k >= 0), or on the way home (k < 0).
 
-    The home row of a batch has the ids and sizes of its rows, and the
-    shingles that are known to be shared; a mark of each of these goes to the
-    task of its hash.  There, the number of postings and marks of a hash says
-    how often it is, in a way that is the same for all rows.
+    The home row of a batch has the ids and sizes of its sets, the ids of all
+    documents with the place of the set of each, and the shingles that are
+    known to be shared; a mark of each of these goes to the task of its hash.
+    There, the number of postings and marks of a hash says how often it is, in
+    a way that is the same for all rows.  A set that the task dealt before has
+    no postings here: it is there for its documents only.
     """
     parts = np.uint64(len(keys))
     enough = min(MOST_POSTINGS, LEAST_IN_RANGE * len(keys))
 
-    def packed(row, g, ids, ns):
+    def packed(row, g, own, n, doc, null):
+        ids, of = np.unique(own, return_inverse=True)
+        ns = np.zeros(len(ids), np.int64)
+        ns[of] = n
+        by_set = np.argsort(of[row], kind="stable")
+        row, g = of[row][by_set], g[by_set]
         m, order = len(ids), np.argsort(g)
         same = np.zeros(len(g), bool)
         same[1:] = g[order][1:] == g[order][:-1]
@@ -135,9 +133,10 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
         shared[order] = same
         shared[order[:-1]] |= same[1:]
         marks = np.unique(g[order][same])
-        # postings name rows by their position, so batches of the same sets in another order are others
-        b = int(mix(np.array([mix(mix(ids.view(np.uint64)) + np.arange(m, dtype=np.uint64)).sum() + np.uint64(m)], np.uint64)).view(np.int64)[0])
-        rows = [_row(-1 - keys[b % len(keys)], b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns))]
+        # postings name sets by their place among all of the batch, so a batch is told by its documents and their sets
+        seed = mix(mix(own.view(np.uint64)) + mix(doc.view(np.uint64) + null) + np.arange(len(own), dtype=np.uint64) * np.uint64(_ODD))
+        b = int(mix(np.array([seed.sum() + np.uint64(len(g))], np.uint64)).view(np.int64)[0])
+        rows = [_row(-1 - keys[b % len(keys)], b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns), docs=doc.tobytes(), nulls=np.packbits(null).tobytes(), of=_planes(of))]
         row, g = row[~shared], g[~shared]
         dest, to = (((x >> np.uint64(33)) % parts).astype(np.int64) for x in (g, marks))
         order, mark_order = np.argsort(dest, kind="stable"), np.argsort(to, kind="stable")
@@ -152,7 +151,9 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
         held: list[tuple] = []
         docs = postings = 0
         for batch in batches:
-            for _, data, bounds in pieces(batch.column(0)):
+            ids = batch.column(0)
+            null, doc = ids.is_null().to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, data, bounds in pieces(batch.column(1)):
                 row, g, n, _, own = _sets(data, bounds, k)
                 fresh = np.zeros(len(n), bool)
                 for i, x in enumerate(own.tolist()):
@@ -161,18 +162,17 @@ def _deal(docs: DataFrame, text: str, k: int, keys: np.ndarray) -> DataFrame:
                         seen.add(x)
                 if len(seen) > SEEN:
                     seen.clear()
-                if fresh.any():
-                    pick = fresh[row]
-                    held.append(((np.cumsum(fresh) - 1)[row[pick]] + docs, g[pick], own[fresh], n[fresh]))
-                    docs += int(fresh.sum())
-                    postings += int(pick.sum())
-                if postings >= enough:
+                pick = fresh[row]
+                held.append((row[pick] + docs, g[pick], own, n, doc[lo : lo + len(n)], null[lo : lo + len(n)]))
+                docs += len(n)
+                postings += int(pick.sum())
+                if postings >= enough or docs >= MOST_DOCS:
                     yield packed(*map(np.concatenate, zip(*held)))
                     held, docs, postings = [], 0, 0
         if held:
             yield packed(*map(np.concatenate, zip(*held)))
 
-    return docs.select(text).mapInArrow(run, _DEALT)
+    return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(run, _DEALT)
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -212,14 +212,17 @@ def _shared(dealt: DataFrame) -> DataFrame:
 
 
 def _survivors(shared: DataFrame, percent: int) -> DataFrame:
-    """Rows with enough shared shingles: id, n, hashes (rare ones first), and those of the prefix that are shared.
+    """All sets with their documents: id, n, docs; those with enough shared shingles also with hashes (rare ones first) and those of the prefix that are shared.
 
-    A set that several batches dealt may be there more than once.
+    A set that several batches dealt may be there more than once, a document
+    is there once for each of its rows.
     """
     def run(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"id": [], "n": [], "hashes": [], "prefix": []}
-        home = next((r for r in table.select(["ids", "ns"]).to_pylist() if r["ids"]), None)
-        ids, ns = np.frombuffer(home["ids"], np.int64), _numbers(home["ns"])
+        out: dict[str, list] = {"id": [], "n": [], "docs": [], "hashes": [], "prefix": []}
+        homes = [r for r in table.select(["ids", "ns", "docs", "nulls", "of"]).to_pylist() if r["ids"]]
+        ids, ns = np.frombuffer(homes[0]["ids"], np.int64), _numbers(homes[0]["ns"])
+        doc, of = (np.concatenate(x) for x in zip(*((np.frombuffer(h["docs"], np.int64), _numbers(h["of"])) for h in homes)))
+        null = np.concatenate([np.unpackbits(np.frombuffer(h["nulls"], np.uint8))[: len(h["docs"]) // 8] for h in homes])
         own, gs, often, marks, marks_often = [], [], [], [], []
         for r in table.select(["counts", "hashes", "often", "marks", "marks_often"]).to_pylist():
             c = _numbers(r["counts"])
@@ -240,15 +243,17 @@ def _survivors(shared: DataFrame, percent: int) -> DataFrame:
         own, g = own[new], g[new]
         size = np.bincount(own, minlength=len(ids))
         first = np.concatenate(([0], np.cumsum(size)))
-        for i in np.flatnonzero(size >= _needed(ns, percent)).tolist():
+        enough = (size >= _needed(ns, percent)) & (size > 0)
+        for i in range(len(ids)):
             a, m, n = int(first[i]), int(size[i]), int(ns[i])
-            out["id"].append(int(ids[i]))
-            out["n"].append(n)
-            out["hashes"].append(g[a : a + m].tobytes())
-            out["prefix"].append(g[a : a + m - int(_needed(n, percent)) + 1].view(np.int64))
-        return pa.table([pa.array(out["id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["hashes"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
+            out["hashes"].append(g[a : a + m].tobytes() if enough[i] else None)
+            out["prefix"].append(g[a : a + m - int(_needed(n, percent)) + 1].view(np.int64) if enough[i] else None)
+        by_set = np.argsort(of, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(ids))))).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(ends), pa.array(doc[by_set], mask=null[by_set].astype(bool)))
+        return pa.table([pa.array(ids), pa.array(ns), members, pa.array(out["hashes"], pa.binary()), pa.array(out["prefix"], pa.list_(pa.int64()))], names=list(out))
 
-    return shared.groupBy("b").applyInArrow(run, "id bigint, n bigint, hashes binary, prefix array<bigint>")
+    return shared.groupBy("b").applyInArrow(run, "id bigint, n bigint, docs array<bigint>, hashes binary, prefix array<bigint>")
 
 
 def product(n: np.ndarray, rows: list[bytes], percent: int, left: np.ndarray | None = None) -> np.ndarray:
@@ -354,17 +359,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = S
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their
     sets of k-word shingles (A-Z lower-cased, words split at ASCII white
-    space); fewer than k words are one shingle.  component_id is the smallest
-    doc_id that is reachable by links.  Null, empty and blank texts have an
-    empty set and link with nothing.  Repeated rows are exact copies and stay
-    as rows; a null doc_id stays null and gets its component's smallest
-    doc_id, if any.
+    space); fewer than k words are one shingle, and a similarity of exactly
+    the bound is a link.  component_id is the smallest doc_id that is reachable
+    by links.  Null, empty and blank texts have an empty set and link with
+    nothing.  Repeated rows are exact copies and stay as rows; a null doc_id
+    stays null and gets its component's smallest doc_id, if any.  Ids are whole
+    numbers; other types are an error.  An empty table gives an empty one, and
+    other columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    whole_ids(docs, doc_id)
     keys = _even_keys(spark, partitions(spark), 2)
-    meta = stored(_meta(docs, doc_id, text, k), "sets")
-    rows = stored(_survivors(_shared(_deal(docs, text, k, keys)), percent), "rows")
+    # the one pass over the texts; its table has all that follows
+    table = stored(_survivors(_shared(_deal(docs, doc_id, text, k, keys)), percent), "rows")
+    meta = table.select("id", "n", F.explode("docs").alias("doc_id"))
+    rows = table.where("hashes is not null").select("id", "n", "hashes", "prefix")
     prefix = rows.select("id", F.explode("prefix").alias("hash"))
     low = prefix.groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("hash", "low")
     blocks = components(prefix.join(low, "hash").where("id != low").select(F.col("id").alias("u"), F.col("low").alias("v")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import pieces, small_batches, words
+from .text import pieces, words
 
 #: Phrases of the base labels.  Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -171,7 +171,6 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
     words and nothing found, with score 0.  Rows stay as they are; columns of
     ``docs`` with the names of results are replaced.
     """
-    small_batches(docs.sparkSession)
     model = _model(BASE if base is None else base, TEMPLATES if templates is None else templates)
     keep = [c for c in docs.columns if c != text and c not in FIELDS.names]
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -2,12 +2,13 @@
 
 Vectors of one label are scaled to length 1, so cosine >= c means a distance
 of at most r = sqrt(2 - 2c).  Equal vectors are one row from the start.  The
-top of the tree is a net of a few pivots that are far from each other, made
-from a bounded sample; it gives cells, and cells give blocks of bounded size
-with a covering radius each.  Pairs of blocks that the radii rule out are not
-formed.  For each pair left, two cover trees with halving radii are built in
-one task and traversed together: node pairs are pruned by their covering
-radii, and what is left is compared exactly.
+top of the tree is a net of pivots that are far from each other, made from a
+bounded sample; each vector belongs to its nearest pivot's cell, and also
+visits those cells whose border (the plane between the two pivots) is within
+r of it, as all others hold nothing near it.  In a cell, cover trees with
+halving radii are built, one for its vectors and one for its visitors, and
+traversed together: node pairs are pruned by their covering radii, and what
+is left is compared exactly.  Labels that fit into one cell need no pivots.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .text import stored
+from .text import made, release, stored, whole_ids
 
 COSINE = 0.98
-#: Vectors of a block; vectors of the sample that pivots come from; most pivots.
-BLOCK, SAMPLE, PIVOTS = 1024, 2048, 512
+#: Vectors of a cell, about, and numbers in them, at most; vectors of the sample that pivots come from; most pivots.
+BLOCK, BLOCK_NUMBERS, SAMPLE, PIVOTS = 8192, 4 << 20, 8192, 2048
 #: Allowance for rounding in bounds (never in the comparison itself).
 SLACK = 1e-6
+#: Rows that are compared with others at once.
+STEP = 512
 
 
 class Node:
@@ -43,14 +46,35 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def tree(x: np.ndarray, leaf: float) -> Node:
-    """Nested levels over unit vectors: radii 2, 1, 1/2, ... down to ``leaf``.
+def _cover(x: np.ndarray, rows: np.ndarray, centre: int, level: float) -> list[Node]:
+    """Nodes of at most this radius over the rows: centres are further apart than it, the given one is the first."""
+    centres, whose, far = [centre], np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    for lo in range(0, len(rows), STEP):
+        part = rows[lo : lo + STEP]
+        d = _distance(x[part], x[centres])
+        near = d.argmin(1)
+        away = d[np.arange(len(part)), near]
+        away[part == centre] = 0.0
+        left = np.flatnonzero(away > level)
+        if len(left):  # a row that no centre covers is one, and may cover rows after it
+            d = _distance(x[part[left]], x[part[left]])
+            np.fill_diagonal(d, 0.0)
+            open_ = np.ones(len(left), bool)
+            for i in range(len(left)):
+                if open_[i]:
+                    took = open_ & (d[i] <= level)
+                    near[left[took]], away[left[took]] = len(centres), d[i][took]
+                    open_ &= ~took
+                    centres.append(int(part[left[i]]))
+        whose[lo : lo + STEP], far[lo : lo + STEP] = near, away
+    order = np.argsort(whose, kind="stable")
+    first = np.searchsorted(whose[order], np.arange(len(centres)))
+    return [Node(c, r, float(f)) for c, r, f in zip(centres, np.split(rows[order], first[1:]), np.maximum.reduceat(far[order], first))]
 
-    At each level a node's rows are covered greedily by centres that are
-    further apart than the level's radius, the node's own centre first.
-    """
-    far = _distance(x[:1], x)[0]
-    root = Node(0, np.arange(len(x)), float(far.max()))
+
+def tree(x: np.ndarray, leaf: float) -> Node:
+    """Nested levels over unit vectors: radii 1, 1/2, 1/4, ... down to ``leaf``; a node's centre is that of its first child."""
+    root = Node(0, np.arange(len(x)), float(_distance(x[:1], x)[0].max()))
     todo = [(root, 1.0)]
     while todo:
         node, level = todo.pop()
@@ -58,49 +82,54 @@ def tree(x: np.ndarray, leaf: float) -> Node:
             continue
         while level >= node.radius:
             level /= 2
-        open_rows, centre, children = node.rows, node.centre, []
-        while len(open_rows):
-            d = _distance(x[centre : centre + 1], x[open_rows])[0]
-            d[open_rows == centre] = 0.0
-            inside = d <= level
-            children.append(Node(centre, open_rows[inside], float(d[inside].max())))
-            open_rows = open_rows[~inside]
-            centre = int(open_rows[0]) if len(open_rows) else -1
-        node.children = children
-        todo += [(c, level / 2) for c in children if len(c.rows) > 1]
+        node.children = _cover(x, node.rows, node.centre, level)
+        todo += [(c, level / 2) for c in node.children if len(c.rows) > 1]
     return root
 
 
+def _near(x: np.ndarray, ps: list[Node], y: np.ndarray, qs: list[Node], r: float, same: bool):
+    """Pairs (i, j) of nodes that their radii do not rule out, part by part; of the same nodes i < j only."""
+    cp, cq = np.array([k.centre for k in ps]), np.array([k.centre for k in qs])
+    rp, rq = np.array([k.radius for k in ps]), np.array([k.radius for k in qs])
+    cols, wide = y[cq], max(STEP, 1 << 20)
+    for lo in range(0, len(ps), STEP):
+        for at in range(lo if same else 0, len(qs), wide):
+            near = _distance(x[cp[lo : lo + STEP]], cols[at : at + wide]) <= r + rp[lo : lo + STEP, None] + rq[None, at : at + wide] + SLACK
+            if same and at == lo:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            yield i + lo, j + at
+
+
 def traverse(x: np.ndarray, a: Node, y: np.ndarray, b: Node, r: float):
-    """Pairs of row sets (rows of x, rows of y) that no covering radius rules out; once each.
+    """Pairs of row sets (rows of x, rows of y, each with each) that no covering radius rules out; once each.
 
     With x is y and a is b, each unordered pair of rows is in one of them:
-    (rows, rows) with the same array stands for the pairs within it.
+    (rows, rows) with the same array stands for the pairs within it.  Pairs of
+    single rows come together, as (rows, rows, True): each with its partner.
     """
     todo = [(a, b)]
     while todo:
         p, q = todo.pop()
-        if p is q:
-            if p.children is None:
-                if len(p.rows) > 1:
-                    yield p.rows, p.rows
-                continue
-            kids = p.children
-            c = np.array([k.centre for k in kids])
-            rad = np.array([k.radius for k in kids])
-            near = np.triu(_distance(x[c], x[c]) <= r + rad[:, None] + rad[None, :] + SLACK)
-            np.fill_diagonal(near, [len(k.rows) > 1 for k in kids])
-            todo += [(kids[i], kids[j]) for i, j in zip(*(z.tolist() for z in np.nonzero(near)))]
+        if p is q and p.children is None:
+            if len(p.rows) > 1:
+                yield p.rows, p.rows, False
             continue
-        if p.children is None and q.children is None:
-            yield p.rows, q.rows
+        if p is not q and p.children is None and q.children is None:
+            yield p.rows, q.rows, False
             continue
-        ps = p.children if p.children is not None and (q.children is None or p.radius >= q.radius) else [p]
-        qs = q.children if ps == [p] else [q]
-        cp, cq = np.array([k.centre for k in ps]), np.array([k.centre for k in qs])
-        rp, rq = np.array([k.radius for k in ps]), np.array([k.radius for k in qs])
-        near = _distance(x[cp], y[cq]) <= r + rp[:, None] + rq[None, :] + SLACK
-        todo += [(ps[i], qs[j]) for i, j in zip(*(z.tolist() for z in np.nonzero(near)))]
+        if p is q:
+            ps = qs = p.children
+            todo += [(k, k) for k in ps if len(k.rows) > 1]
+        else:
+            ps = p.children if p.children is not None and (q.children is None or p.radius >= q.radius) else [p]
+            qs = q.children if ps == [p] else [q]
+        one, two = np.array([len(k.rows) == 1 for k in ps]), np.array([len(k.rows) == 1 for k in qs])
+        for i, j in _near(x, ps, y, qs, r, p is q):
+            single = one[i] & two[j]
+            if single.any():
+                yield np.array([ps[k].centre for k in i[single]]), np.array([qs[k].centre for k in j[single]]), True
+            todo += [(ps[m], qs[n]) for m, n in zip(i[~single].tolist(), j[~single].tolist())]
 
 
 def _root(label: np.ndarray, i: int) -> int:
@@ -118,45 +147,55 @@ def _roots(label: np.ndarray, at: np.ndarray) -> np.ndarray:
         at = up
 
 
-def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray | None, cosine: float, trees: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links by row of x and of y (weighted by copies nx, ny), and a label joining the rows of both.
 
     y is None: pairs within x.  Rows of y are numbered after those of x.
+    ``trees`` keeps the tree of x from one call to the next.
     """
     r = math.sqrt(2 - 2 * cosine)
-    a = tree(x, 1.25 * r)
+    trees = {} if trees is None else trees
+    if "x" not in trees:
+        trees["x"] = tree(x, 1.25 * r)
+    a = trees["x"]
     alone = y is None
-    b, y2 = (a, x) if alone else (tree(y, 1.25 * r), y)
+    b, y2, n2 = (a, x, nx) if alone else (tree(y, 1.25 * r), y, ny)
     shift = 0 if alone else len(x)
     total = np.zeros(len(x) + (0 if alone else len(y)), np.int64)
     label = np.arange(len(total))
-    for p, q in traverse(x, a, y2, b, r):
-        for lo in range(0, len(p), 512):
-            rows = p[lo : lo + 512]
+
+    def join(i: int, j: int) -> None:
+        i, j = _root(label, i), _root(label, j)
+        label[max(i, j)] = min(i, j)
+
+    for p, q, matched in traverse(x, a, y2, b, r):
+        if matched:
+            hit = np.einsum("ij,ij->i", x[p], y2[q]) >= cosine
+            p, q = p[hit], q[hit]
+            np.add.at(total, p, n2[q])
+            np.add.at(total, q + shift, nx[p])
+            for i, j in zip(p.tolist(), (q + shift).tolist()):
+                join(i, j)
+            continue
+        for lo in range(0, len(p), STEP):
+            rows = p[lo : lo + STEP]
             hit = x[rows] @ y2[q].T >= cosine
             if p is q:
                 hit &= rows[:, None] != q[None, :]
                 total[rows] += hit @ nx[q]
-            elif alone:
-                total[rows] += hit @ nx[q]
-                total[q] += hit.T @ nx[rows]
             else:
-                total[rows] += hit @ ny[q]
+                total[rows] += hit @ n2[q]
                 total[q + shift] += hit.T @ nx[rows]
             full = np.flatnonzero(hit.any(1))
-            first = hit[full].argmax(1)
-            for i, j in zip(rows[full].tolist(), (q[first] + shift).tolist()):
-                i, j = _root(label, i), _root(label, j)
-                label[max(i, j)] = min(i, j)
+            for i, j in zip(rows[full].tolist(), (q[hit[full].argmax(1)] + shift).tolist()):
+                join(i, j)
             for j in np.flatnonzero(hit.any(0)).tolist():
-                i, k = _root(label, int(rows[hit[:, j].argmax()])), _root(label, int(q[j]) + shift)
-                label[max(i, k)] = min(i, k)
+                join(int(rows[hit[:, j].argmax()]), int(q[j]) + shift)
             # hits between what the first ones of each row and column did not join
             of_rows, of_q = _roots(label, rows[full]), _roots(label, q + shift)
             i, j = np.nonzero(hit[full] & (of_rows[:, None] != of_q[None, :]))
             for i, j in np.unique(np.stack((of_rows[i], of_q[j]), 1), axis=0).tolist():
-                i, j = _root(label, i), _root(label, j)
-                label[max(i, j)] = min(i, j)
+                join(i, j)
     while True:
         up = label[label]
         if (up == label).all():
@@ -172,10 +211,10 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _pivots(rows: DataFrame, wanted: int) -> dict[int, np.ndarray]:
+def _pivots(rows: DataFrame, wanted: int, sample: int) -> dict[int, np.ndarray]:
     """By dimension, centres far from each other, from a bounded sample by hash: each next one is the furthest."""
     by: dict[int, list] = {}
-    for x in rows.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(SAMPLE).select("dim", F.col("e").cast("array<double>").alias("e")).collect():
+    for x in rows.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(sample).select("dim", F.col("e").cast("array<double>").alias("e")).collect():
         by.setdefault(x.dim, []).append(x.e)
     out = {}
     for dim, vs in by.items():
@@ -183,7 +222,7 @@ def _pivots(rows: DataFrame, wanted: int) -> dict[int, np.ndarray]:
         far, chosen = _distance(x[:1], x)[0], [0]
         while len(chosen) < min(wanted, len(x)):
             nxt = int(far.argmax())
-            if far[nxt] <= 0:
+            if far[nxt] <= 1e-3:
                 break
             chosen.append(nxt)
             far = np.minimum(far, _distance(x[nxt : nxt + 1], x)[0])
@@ -191,73 +230,113 @@ def _pivots(rows: DataFrame, wanted: int) -> dict[int, np.ndarray]:
     return out
 
 
+def cells(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cell of each unit vector, and pairs (row, cell) of the visits it pays to cells after its own.
+
+    Two vectors within r in cells a < c: the first is no further than r from
+    the plane between the pivots of a and c, as the second lies beyond it.
+    """
+    cosines = x @ pivots.T
+    own = cosines.argmax(1)
+    gap = _distance(pivots, pivots)[own]
+    visit = (cosines[np.arange(len(x)), own][:, None] - cosines) <= (r + SLACK) * gap + SLACK
+    visit &= np.arange(len(pivots))[None, :] > own[:, None]
+    return own, *np.nonzero(visit)
+
+
 def pairs(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector.
 
     Vectors link when their labels are equal and not null, their dimensions
-    are equal and their cosine in double precision is at least ``cosine``.
-    Null, empty and zero vectors and those with null or non-finite components
-    link with nothing.  Repeated rows are vectors of their own that link with
-    each other.  component_id is the smallest vec_id reachable by links; kept
-    is whether that is the vector itself.
+    are equal and their cosine in double precision is at least ``cosine`` (a
+    tie is a link).  Null, empty and zero vectors and those with null or
+    non-finite components link with nothing.  A row is a vector, whatever its
+    id: repeated rows link with each other, and so do different vectors of one
+    id.  component_id is the smallest vec_id reachable by links, null where
+    none of them has an id, and the own id of a vector that links with
+    nothing; kept is whether it is the vector's own id (null with null, too).
+    Ids are whole numbers; other types are an error.  An empty table gives an
+    empty one; other columns are left out, whatever their names.
     """
-    spark = vectors.sparkSession
-    e = F.col(embedding)
-    base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), e.alias("e"))
+    whole_ids(vectors, vec_id)
+    spark, r = vectors.sparkSession, math.sqrt(2 - 2 * cosine)
+    base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), F.col(embedding).alias("e"))
     finite = F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0)
     base = base.withColumn("dim", F.when(F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)), F.size("e")))
     base = base.withColumns({"h1": F.xxhash64("label", "e"), "h2": F.xxhash64(F.lit(9), "label", "e")})
-    reps = base.where("dim is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("e").alias("e"))
-    reps = stored(reps.where("rep is not null"), "vectors")
-    total, kinds = reps.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
-    net = _pivots(reps, min(PIVOTS, max(1, round(total / max(1, kinds) / block))))
-    shared = spark.sparkContext.broadcast(net)
-
-    def cell(batches):
+    # a class of equal vectors is told by its hashes, and named by where it is stored
+    some = (F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("e").alias("e"))
+    reps = stored(base.where("dim is not null").groupBy("h1", "h2").agg(*some).withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    kinds = reps.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size"))
+    most, dim = kinds.agg(F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.max("dim"), F.lit(1))).first()
+    block = min(block, max(64, BLOCK_NUMBERS // dim))
+    wanted = min(PIVOTS, math.ceil(most / block))
+    sample = min(SAMPLE, 16 * wanted, BLOCK_NUMBERS // dim)
+    shared = spark.sparkContext.broadcast(_pivots(reps, wanted, sample) if wanted > 1 else {})
+
+    def place(batches):
         for b in batches:
-            dims = b.column(b.schema.get_field_index("dim")).to_numpy()
-            cells, far = np.zeros(len(dims), np.int64), np.full(len(dims), 2.0)
+            dims, vs = b.column(b.schema.get_field_index("dim")).to_numpy(), b.column(b.schema.get_field_index("e"))
+            own, visits = np.zeros(len(dims), np.int64), [[] for _ in dims]
             for d in np.unique(dims):
+                if d not in shared.value:  # no pivot has this dimension: one cell
+                    continue
                 pick = np.flatnonzero(dims == d)
-                if d in shared.value:  # else no pivot has this dimension: one cell, nothing ruled out
-                    away = _distance(_vectors(b.column(b.schema.get_field_index("e")).take(pa.array(pick))), shared.value[d])
-                    cells[pick], far[pick] = away.argmin(1), away.min(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells), pa.array(far)], names=[*b.schema.names, "cell", "far"])
-
-    celled = reps.select("rep", "n", "label", "dim", "e").mapInArrow(cell, T.StructType([reps.schema[c] for c in ("rep", "n", "label", "dim", "e")]).add("cell", "long").add("far", "double"))
-    celled = stored(celled, "cells")
+                for lo in range(0, len(pick), STEP):
+                    part = pick[lo : lo + STEP]
+                    own[part], row, cell = cells(_vectors(vs.take(pa.array(part))), shared.value[d], r)
+                    for i, c in zip(part[row].tolist(), cell.tolist()):
+                        visits[i].append(c)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own), pa.array(visits, pa.list_(pa.int64()))], names=[*b.schema.names, "cell", "visits"])
+
+    body = ("rep", "n", "label", "dim", "e")
     key = ["label", "dim", "cell"]
-    sizes = celled.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    placed = celled.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    blocks = placed.groupBy(*key, "part").agg(F.max("far").alias("radius")).withColumn("b", F.xxhash64(*key, "part"))
-    # distances of pivots; a cell without a pivot is as near as can be to all
-    gaps = [(int(d), i, j, float(g)) for d, x in net.items() for i, row in enumerate(_distance(x, x)) for j, g in enumerate(row)]
-    gap = spark.createDataFrame(gaps or [(0, 0, 0, 0.0)], "dim int, cell long, cell2 long, gap double")
-    other = blocks.select("label", "dim", F.col("cell").alias("cell2"), F.col("part").alias("part2"), F.col("radius").alias("radius2"), F.col("b").alias("b2"))
-    two = blocks.join(other, ["label", "dim"]).where("(cell, part) <= (cell2, part2)").join(gap, ["dim", "cell", "cell2"], "left")
-    two = two.where(F.coalesce("gap", F.lit(0.0)) <= F.col("radius") + F.col("radius2") + math.sqrt(2 - 2 * cosine) + SLACK)
-    two = two.withColumn("pair", F.xxhash64("b", "b2", "label"))
-    sides = two.select("pair", *key, "part", F.lit(0).alias("side")).union(two.where("b != b2").select("pair", "label", "dim", F.col("cell2").alias("cell"), F.col("part2").alias("part"), F.lit(1).alias("side")))
-    dealt = placed.join(sides, [*key, "part"]).select("pair", "side", "rep", "n", "e")
+    if wanted > 1:
+        placed = stored(reps.select(*body).mapInArrow(place, T.StructType([reps.schema[c] for c in body]).add("cell", "long").add("visits", T.ArrayType(T.LongType()))), "cells")
+        used = made()[-1:]
+        there = placed.select(*body, "cell", F.lit(0).alias("side")).union(placed.select(*body, F.explode("visits").alias("cell"), F.lit(1).alias("side")))
+        # a cell with more vectors than a block is cut into parts, and all pairs of parts of it are formed
+        sizes = there.groupBy(*key).agg(F.ceil(F.count_if(F.col("side") == 0) / block).alias("parts"), F.ceil(F.count_if(F.col("side") == 1) / block).alias("others"))
+        there = there.join(sizes.where("parts > 0"), key)
+    else:
+        one = F.lit(0).cast("long")
+        there, used = reps.select(*body, one.alias("cell"), F.lit(0).alias("side"), (one + 1).alias("parts"), one.alias("others")), []
+    part = F.when(F.col("side") == 0, F.pmod(F.xxhash64("rep"), F.col("parts"))).otherwise(F.col("parts") + F.pmod(F.xxhash64("rep"), F.greatest(F.lit(1), F.col("others"))))
+    # the task (i, j) has part i of a cell as its own and part j as the others; a part alone is with the first visitors
+    home, last = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.col("parts") + F.col("others") - 1
+    own = F.transform(F.sequence(F.col("part"), F.greatest(last, F.col("part"))), lambda j: F.struct(F.col("part").alias("i"), j.alias("j"), F.lit(0).alias("to")))
+    other = F.transform(F.filter(home, lambda i: i < F.col("part")), lambda i: F.struct(i.alias("i"), F.col("part").alias("j"), F.lit(1).alias("to")))
+    # part i meets itself in the task of its first visitors, where there are any
+    own = F.when(F.col("others") > 0, F.filter(own, lambda t: t["j"] != t["i"])).otherwise(own)
+    tasks = F.when(F.col("side") == 0, F.concat(own, other)).otherwise(other)
+    dealt = there.withColumn("part", part).withColumn("t", F.explode(tasks)).select(*key, "t.i", "t.j", "t.to", "parts", "rep", "n", "e")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by([("side", "ascending"), ("rep", "ascending")])
+        table = table.combine_chunks().sort_by([("to", "ascending"), ("rep", "ascending")])
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        cut = int(np.searchsorted(table.column("side").to_numpy(), 1))
+        cut = int(np.searchsorted(table.column("to").to_numpy(), 1))
         x = _vectors(table.column("e").combine_chunks() if isinstance(table.column("e"), pa.ChunkedArray) else table.column("e"))
-        if cut < len(x):
-            a, b, joined = links(x[:cut], n[:cut], x[cut:], n[cut:], cosine)
-            a = np.concatenate((a, b))
-        else:
-            a, _, joined = links(x, n, None, None, cosine)
-        some = a > 0
-        return pa.table([pa.array(rep[some]), pa.array(a[some]), pa.array(rep[joined[some]])], names=["rep", "links", "root"])
-
-    found = stored(dealt.groupBy("pair").applyInArrow(run, "rep bigint, links bigint, root bigint"), "links")
+        i, j, parts = (int(table.column(c)[0].as_py()) for c in ("i", "j", "parts"))
+        trees, out = {}, []
+        if cut and j in (i, parts):
+            a, _, joined = links(x[:cut], n[:cut], None, None, cosine, trees)
+            out.append((rep[:cut], a, rep[:cut][joined]))
+        if cut and cut < len(x):
+            a, b, joined = links(x[:cut], n[:cut], x[cut:], n[cut:], cosine, trees)
+            out.append((rep, np.concatenate((a, b)), rep[joined]))
+        got = [np.concatenate(c) if out else np.empty(0, np.int64) for c in (zip(*out) if out else ((), (), ()))]
+        some = got[1] > 0
+        return pa.table([pa.array(c[some]) for c in got], names=["rep", "links", "root"])
+
+    found = stored(dealt.groupBy(*key, "i", "j").applyInArrow(run, "rep bigint, links bigint, root bigint"), "links")
+    release(spark, used)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    named = reps.select("h1", "h2", "rep", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    named = named.select("h1", "h2", F.col("n").alias("copies"), "links", F.coalesce("root", "rep").alias("root"))
-    out = base.select("vec_id", "dim", "h1", "h2").join(named, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.when(F.col("dim").isNull() | F.col("copies").isNull(), F.lit(0)).otherwise(F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("dim").isNull(), F.col("vec_id")).otherwise(F.coalesce("root", "vec_id")).alias("component_id"))
+    named = reps.select("h1", "h2", "rep", "least", "n").join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("h1", "h2", "least", F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "copies", "links", "component_id")
+    # both sides of the last join are plain rows, so that those of a vector with very many copies are split
+    out = base.select("vec_id", "dim", "h1", "h2").join(stored(named, "named"), ["h1", "h2"], "left")
+    alone = F.col("dim").isNull() | F.col("copies").isNull()
+    out = out.select("vec_id", F.when(alone, F.lit(0)).otherwise(F.col("copies") - 1 + F.col("links")).cast("long").alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mix, pieces, small_batches, words
+from .text import mix, pieces, words
 from .toxicity import held_out, logistic
 
 #: Labelled documents of each class, and unlabelled ones, that are learned from, at most.
@@ -151,7 +151,6 @@ def probability(model: dict, xt: np.ndarray, xm: np.ndarray) -> tuple[np.ndarray
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", meta=("source", "lang", "n_chars"), per_class: int = TRAIN_DOCS, unlabelled: int = UNLABELLED) -> dict:
     """The model from bounded samples: labelled documents outside the held-out fold, and unlabelled ones."""
     spark = docs.sparkSession
-    small_batches(spark)
     meta = [c if c in docs.columns else None for c in meta]
     i = F.col(doc_id).alias("i")
     known = labels.select(i, F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)").where(~held_out(F.col("i"))).groupBy("i").agg(F.min("y").alias("y"))
@@ -186,7 +185,6 @@ def score(docs: DataFrame, model: dict, text: str = "text", meta=("source", "lan
     probability is their share of good ones, or 1 where there are none.
     Columns of ``docs`` with the names of results are replaced.
     """
-    small_batches(docs.sparkSession)
     made = ("quality", "quality_text", "quality_meta", "kept")
     base = docs.drop(*made)
     meta = [c if c in base.columns else None for c in meta]

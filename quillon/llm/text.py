@@ -16,10 +16,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder  # noqa: F401
+
 #: Texts handled at once, in bytes; a longer text is handled alone, whole.
 PIECE = 1 << 20
-#: Rows of one Arrow batch for operators over texts.
-BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _P = 0x9E3779B97F4A7C15 | 1
@@ -132,41 +132,39 @@ def sql_lower(column):
     return F.when(F.octet_length(column) == F.char_length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep an Arrow batch of texts small; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import os
-        import tempfile
-
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "quillon-checkpoints")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return folder
+def whole_ids(df: DataFrame, *names: str) -> None:
+    """Refuse id columns that are not whole numbers, before anything runs."""
+    for c in names:
+        kind = df.schema[c].dataType.simpleString()
+        if kind not in ("tinyint", "smallint", "int", "bigint"):
+            raise TypeError(f"{c} has to be a whole number (bigint), not {kind}")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the shared folder, without their lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+#: Paths of the tables that this process has stored and not released.
+_MADE: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a Parquet table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/quillon/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """Stored tables of this process that are still there, oldest first."""
+    return list(_MADE)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

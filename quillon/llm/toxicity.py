@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mix, pieces, powers, small_batches, words
+from .text import mix, pieces, powers, words
 
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 #: Labelled documents that are learned from, at most, toxic and clean: those with the smallest hashes.
@@ -243,7 +243,6 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
     have score 0.  Rows stay as they are; columns of ``docs`` with the names
     of results are replaced.
     """
-    small_batches(docs.sparkSession)
     made = ("held_out", "score", "predicted")
     keep = [c for c in docs.columns if c != text and c not in made]
     shared = docs.sparkSession.sparkContext.broadcast(model)

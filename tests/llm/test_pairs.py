@@ -158,6 +158,45 @@ def test_vectors_of_nothing_and_repeated_rows(spark):
     assert sorted(tuple(r) for r in rows) == [(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_vectors_of_null_and_repeated_ids(spark):
+    e = lambda d: [float(v) for v in on_circle([d])[0]]
+    rows = [(1, e(0), 0), (1, e(90), 0), (2, e(5), 0), (3, e(95), 0), (3, e(97), 0)]  # two vectors of id 1, in two groups
+    got = sorted(tuple(r) for r in near_dup.pairs(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+    rows = [(None, e(0), 0), (None, e(0), 0), (5, e(1), 0), (None, e(180), 0), (None, e(181), 0), (None, None, 0)]
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in near_dup.pairs(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == [(0, 0, 0, True), (0, 1, 0, True), (0, 1, 0, True), (0, 2, 5, False), (0, 2, 5, False), (5, 2, 5, True)]
+
+
+def test_other_id_types_are_refused(spark, make):
+    with pytest.raises(TypeError, match="bigint"):
+        near_dup.pairs(spark.createDataFrame([("a", [1.0], 0)], "vec_id string, embedding array<float>, label int"))
+    with pytest.raises(TypeError, match="bigint"):
+        jaccard.join(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    assert jaccard.join(spark.createDataFrame([(3, "b"), (2, "b")], "doc_id int, text string")).where("component_id = 2").count() == 2
+
+
+@pytest.mark.parametrize("pivots", [2, 7, 40])
+def test_cells_lose_no_pair(pivots):
+    rng = np.random.default_rng(pivots)
+    x = rng.normal(size=(400, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, row, cell = near_dup.cells(x, x[rng.permutation(400)[:pivots]], 0.2)
+    seen = set(zip(row.tolist(), cell.tolist()))
+    for i, j in np.argwhere(near_dup._distance(x, x) <= 0.2).tolist():
+        assert own[i] >= own[j] or (i, own[j]) in seen
+    assert len(seen) < 0.4 * 400 * (pivots - 1)
+
+
+@pytest.mark.parametrize("spread, block", [(0.02, 20), (0.2, 30), (0.2, 7)])
+def test_vectors_of_a_dense_label(spark, spread, block):
+    rng = np.random.default_rng(4)  # one group that no pivot splits, beside others
+    x = np.concatenate((np.ones((90, 5)) + rng.normal(size=(90, 5)) * spread, rng.normal(size=(120, 5))))
+    rows = [(i, [float(v) for v in e.astype(np.float32)], 1) for i, e in enumerate(x)]
+    got = sorted(tuple(r) for r in near_dup.pairs(spark.createDataFrame(rows, SCHEMA), block=block).collect())
+    assert got == brute_vectors(rows, 0.98)
+
+
 def on_circle(degrees):
     a = np.radians(degrees)
     return np.stack((np.cos(a), np.sin(a)), 1)
@@ -198,5 +237,5 @@ def test_tree_covers_and_prunes():
             todo += n.children
         else:
             leaves.append(n)
-    compared = sum(len(p) * len(q) for p, q in near_dup.traverse(x, root, x, root, 0.2))
+    compared = sum(len(p) if matched else len(p) * len(q) for p, q, matched in near_dup.traverse(x, root, x, root, 0.2))
     assert compared < 0.15 * len(x) ** 2
