@@ -22,6 +22,8 @@ from .text import mix, pieces, powers, words
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 #: Labelled documents that are learned from, at most, toxic and clean: those with the smallest hashes.
 TRAIN_DOCS = (2500, 5000)
+#: Bytes of their distinct words, at most: documents after that are not learned from.
+TRAIN_BYTES = 48 << 20
 #: One in so many of them is not learned from but calibrates the score.
 CALIBRATE = 4
 FOLDS, FOLD = 5, 0
@@ -92,9 +94,7 @@ class Model:
             many = bounds[w + 1] - bounds[w]
             inst = np.repeat(np.arange(len(w)), many)
             idx = flat[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(bounds[w], many)]
-            x = np.zeros((len(w), DIM))
-            np.add.at(x, inst, self.e[idx])
-            x /= many[:, None]
+            x = np.add.reduceat(self.e[idx], np.cumsum(many) - many, axis=0) / many[:, None]  # no word is without subwords
             z = x @ self.v + self.b
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
@@ -105,9 +105,9 @@ class Model:
             self.v -= rate * dv / np.sqrt(self.gv)
             self.b -= rate * 0.1 * g.mean(0)
             de = (dx / many[:, None])[inst]
-            buckets, back = np.unique(idx, return_inverse=True)
-            step = np.zeros((len(buckets), DIM))
-            np.add.at(step, back, de)
+            by = np.argsort(idx, kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], idx[by][1:] != idx[by][:-1])))
+            buckets, step = idx[by][first], np.add.reduceat(de[by], first, axis=0)
             self.ge[buckets] += (step**2).mean(1)
             self.e[buckets] -= rate * step / np.sqrt(self.ge[buckets])[:, None]
 
@@ -154,9 +154,8 @@ def fit(docs: list[tuple[list[str] | str, int]], rounds: int = 8, prior: float |
         own = np.where(neg > 0, -np.inf, z)
         chosen = np.array([i[own[i].argmax()] for i in toxic if np.isfinite(own[i]).any()], np.int64)
         hard = np.array([i[z[i].argmax()] for i in clean_docs], np.int64)
-        some = model.rng.choice(clean, min(len(clean), 40000), replace=False)
-        target = np.concatenate((np.ones(len(chosen)), np.zeros(len(hard) + len(some))))
-        model.learn(flat, bounds, np.concatenate((chosen, hard, some)), target, np.ones(len(target)), 0.2)
+        target = np.concatenate((np.ones(len(chosen)), np.zeros(len(hard) + len(clean))))
+        model.learn(flat, bounds, np.concatenate((chosen, hard, clean)), target, np.ones(len(target)), 0.2)
     table, bias = model.scalars()
     rest = ~learn if (~learn).any() else learn
     top = _top(_values(table, bias, flat, bounds), [i for i, u in zip(ids, rest) if u])
@@ -205,7 +204,11 @@ def held_out(doc_id, folds: int = FOLDS, fold: int = FOLD):
 
 
 def sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, per_class: tuple[int, int]) -> tuple[DataFrame, float]:
-    """(i, y, text) of labelled documents outside the held-out fold, bounded per class, and the share of 1 among all."""
+    """(i, y, text) of labelled documents outside the held-out fold, bounded per class, and the share of 1 among all.
+
+    Labels without an id or a value are left out, an id with both is 1; rows
+    of one id and text are one.
+    """
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("i")))
     known = known.groupBy("i").agg(F.max("y").alias("y"))
     n = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -232,16 +235,29 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                     out[lo + r] = b" ".join(ws).decode("utf-8", "replace")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["i", "y", "words"])
 
-    got = rows.mapInArrow(distinct, "i bigint, y int, words string").collect()
-    return fit([(r.words, r.y) for r in sorted(got, key=lambda r: (r.i, r.y, r.words))], prior=share)
+    # in an order that does not depend on partitions, classes mixed; rows beyond the bound stay where they are
+    kind = rows.schema["i"].dataType.simpleString()
+    found = rows.mapInArrow(distinct, f"i {kind}, y int, words string").distinct()
+    found = found.withColumn("size", F.octet_length("words").cast("long"))
+    order = F.xxhash64("i", F.lit(5))
+    got, size = [], 0
+    for r in found.orderBy(order, "i", F.xxhash64("words"), "words").limit(sum(per_class)).toLocalIterator():
+        size += r.size
+        if got and size > TRAIN_BYTES:
+            break
+        got.append((r.words, r.y))
+    return fit(got, prior=share)
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns of ``docs`` without the text, with held_out, score and predicted.
 
-    Every whole text is scored; null and empty texts and those without words
-    have score 0.  Rows stay as they are; columns of ``docs`` with the names
-    of results are replaced.
+    Every whole text is scored, a very long one too, by the most toxic of its
+    words; null and empty texts and those without words have score 0, and a
+    score of exactly 0.5 is predicted as 1.  A null id counts as an empty text
+    for held_out.  Rows stay as they are, repeated ones too, and get equal
+    scores; an empty table gives an empty one.  Columns of ``docs`` with the
+    names of results are replaced.
     """
     made = ("held_out", "score", "predicted")
     keep = [c for c in docs.columns if c != text and c not in made]
