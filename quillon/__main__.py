@@ -1,8 +1,8 @@
 """python -m quillon COMMAND
 
-serve [CONFIG]   ingest what lands and answer over HTTP
-sweep [CONFIG]   retention and compaction, once
-dump DIR         framed log records
+serve [CONFIG]   ingest what lands, answer over HTTP, and sweep every few hours
+sweep [CONFIG]   retention and compaction, once; may run beside serve
+dump DIR         framed log records: place, size, and the first service and number of spans of trace payloads
 send DIR         land one trace request with one span
 """
 
@@ -15,7 +15,7 @@ import time
 from datetime import date
 
 from .config import load
-from .operators.maintenance import sweep
+from .operators.maintenance import start_sweeps, sweep
 from .operators.store import Store
 from .server import serve
 from .session import session
@@ -28,7 +28,10 @@ def main(args: list[str]) -> int:
         print(__doc__)
         return 2
     if args[0] == "dump":
-        framed_log.tolerant(session(), args[1]).selectExpr("path", "offset", "length(payload) AS bytes").show(1000, False)
+        n = 0
+        for n, r in enumerate(framed_log.summary(session(), args[1]).orderBy("path", "offset").toLocalIterator(), 1):
+            print(r.path, r.offset, r.bytes, r.service, r.spans, sep="\t")
+        print(f"{n} records")
         return 0
     if args[0] == "send":
         now = time.time_ns()
@@ -41,12 +44,15 @@ def main(args: list[str]) -> int:
         if args[0] == "sweep":
             print(sweep(store, date.today(), config.retention_days))
             return 0
-        start_ingest(store, config.landing_dir, f"{config.data_dir}/_checkpoints")
+        start_ingest(store, config.landing_dir, f"{config.data_dir}/_checkpoints", interval=config.batch_interval)
+        sweeps = start_sweeps(store, config.retention_days, config.sweep_hours * 3600)
         server = serve(store, config.http_address)
         try:
             server.serve_forever()
         except KeyboardInterrupt:
             server.shutdown()
+        finally:
+            sweeps.set()
     return 0
 
 

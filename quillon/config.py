@@ -16,11 +16,12 @@ class Config:
     http_address: str = "127.0.0.1:8080"
     retention_days: int = 7
     batch_interval: str = "1 second"
+    sweep_hours: float = 6.0
     resolver: Resolver = Resolver("attribute_based", CONFIGURED, DEFAULT)
 
 
 #: Environment variables and what they set.
-ENVIRONMENT = {"QUILLON_DATA_DIR": "data_dir", "QUILLON_LANDING_DIR": "landing_dir", "QUILLON_HTTP_ADDR": "http_address", "QUILLON_RETENTION_DAYS": "retention_days"}
+ENVIRONMENT = {"QUILLON_DATA_DIR": "data_dir", "QUILLON_LANDING_DIR": "landing_dir", "QUILLON_HTTP_ADDR": "http_address", "QUILLON_RETENTION_DAYS": "retention_days", "QUILLON_BATCH_INTERVAL": "batch_interval"}
 
 
 def load(path: str | None = None, env: dict[str, str] | None = None) -> Config:

@@ -7,6 +7,8 @@ finds that out at run time, so nothing is broadcast by assumption here.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,56 @@ def service_graph(spans: DataFrame) -> DataFrame:
     return edges.agg(F.count(F.lit(1)).alias("calls"), F.sum("error").alias("errors")).withColumn("error_rate", F.col("errors") / F.col("calls"))
 
 
-def span_tree(spans: DataFrame, rounds: int = 20) -> DataFrame:
+#: Spans of a trace up to which one task orders it alone.
+SMALL_TRACE = 100_000
+
+
+def span_tree(spans: DataFrame, small: int = SMALL_TRACE) -> DataFrame:
     """tenant_id, trace_id, span_id, root_span_id, depth (0 at roots) of every span.
 
-    Each round doubles how far up a span has looked, so a trace of depth d
-    takes log2(d) joins and no task holds a whole trace.  A span whose parent
-    is missing is a root.  Spans on a cycle, or more than 2**rounds deep, get
-    a null root and depth.
+    A span whose parent is missing is a root; spans on a cycle get a null root
+    and depth.  Of repeated span ids one row counts.  Traces of up to
+    ``small`` spans are ordered by a task each, after one shuffle; of larger
+    ones no task holds a whole trace.
     """
     key = ["tenant_id", "trace_id", "span_id"]
-    base = spans.select(*key, F.nullif("parent_span_id", F.lit("")).alias("up")).dropDuplicates(key)
+    base = spans.select(*key, F.nullif("parent_span_id", F.lit("")).alias("up"))
+    sizes = base.groupBy("tenant_id", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if most <= small:
+        return _small_trees(base)
+    wide = sizes.where(F.col("n") > small).select("tenant_id", "trace_id")
+    both = ["tenant_id", "trace_id"]
+    return _small_trees(base.join(wide, both, "left_anti")).unionByName(_large_trees(base.join(wide, both, "left_semi"), most.bit_length() + 1))
+
+
+def _small_trees(base: DataFrame) -> DataFrame:
+    def run(table: pa.Table) -> pa.Table:
+        ids, ups = table.column("span_id").to_pylist(), table.column("up").to_pylist()
+        place = {}
+        for i, x in enumerate(ids):
+            if x not in place or ups[i] is not None and (ups[place[x]] is None or ups[i] < ups[place[x]]):  # the least parent of a repeated span
+                place[x] = i
+        rows = np.array(list(place.values()))
+        number = {x: i for i, x in enumerate(place)}
+        n = len(rows)
+        at = np.array([number.get(ups[r], i) if ups[r] is not None else i for i, r in enumerate(rows)])
+        root = np.array([ups[r] is None or ups[r] not in number for r in rows], bool)
+        depth = (~root).astype(np.int64)
+        for _ in range(n.bit_length()):  # each round doubles how far up a span has looked
+            depth, at = depth + depth[at], at[at]
+        open_ = ~root[at]
+        span, top = [ids[r] for r in rows], [None if o else ids[rows[a]] for o, a in zip(open_, at)]
+        one = lambda c: pa.array([table.column(c)[0].as_py()] * n, pa.string())
+        return pa.table([one("tenant_id"), one("trace_id"), pa.array(span, pa.string()), pa.array(top, pa.string()), pa.array(depth, mask=open_)], names=["tenant_id", "trace_id", "span_id", "root_span_id", "depth"])
+
+    return base.groupBy("tenant_id", "trace_id").applyInArrow(run, "tenant_id string, trace_id string, span_id string, root_span_id string, depth bigint")
+
+
+def _large_trees(spans: DataFrame, rounds: int) -> DataFrame:
+    """Each round doubles how far up a span has looked, so so many rounds reach the root of every trace of 2**rounds spans."""
+    key = ["tenant_id", "trace_id", "span_id"]
+    base = spans.groupBy(*key).agg(F.min("up").alias("up"))
     there = base.select("tenant_id", "trace_id", F.col("span_id").alias("up"), F.lit(True).alias("there"))
     state = base.join(there, ["tenant_id", "trace_id", "up"], "left").select(*key, F.when(F.col("there"), F.col("up")).alias("up"))
     # at: the furthest ancestor seen, depth steps above; open while it is no root

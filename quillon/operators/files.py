@@ -1,10 +1,10 @@
-"""Directories through Hadoop's file systems, and swaps that can be finished after a crash."""
+"""Directories through Hadoop's file systems."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -62,32 +62,30 @@ class Folder:
         finally:
             stream.close()
 
-    def swap(self, staged: str, places: list[str]) -> None:
-        """Put staged/<place> where <place> is, for each place; a place without a staged part goes away.
-
-        An intent is written first.  Until it is gone a reader may see a place
-        missing; ``finish`` (called when a store opens) completes the moves.
-        There is one writer at a time.
-        """
-        name = f"_intents/{uuid.uuid4().hex}.json"
-        self.write(name, json.dumps({"staged": staged, "places": places, "new": [p for p in places if self.exists(f"{staged}/{p}")]}))
-        self._finish(name)
-
-    def _finish(self, name: str) -> None:
-        plan = json.loads(self.read(name))
-        for place in plan["places"]:
-            new = f"{plan['staged']}/{place}"
-            waiting = self.exists(new)
-            if self.exists(place) and (waiting or place not in plan["new"]):
-                self.delete(place)
-            if waiting:
-                self.move(new, place)
-        self.delete(plan["staged"])
-        self.delete(name)
-
-    def finish(self) -> int:
-        """Complete swaps that a crash left open; how many there were."""
-        open_ones = [n for n in self.names("_intents") if n.endswith(".json")]
-        for n in open_ones:
-            self._finish(f"_intents/{n}")
-        return len(open_ones)
+    def changed(self, name: str) -> float:
+        """When a file or directory was last written, in seconds."""
+        return self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
+    def newest(self, name: str) -> float:
+        """When the newest file below a directory was written; of an empty one, the directory."""
+        times, it = [], self.fs.listFiles(self._path(name), True)
+        while it.hasNext():
+            times.append(it.next().getModificationTime() / 1000)
+        return max(times, default=self.changed(name))
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a file that is not there yet; False if it is.  Of several writers one succeeds."""
+        path = self._path(name)
+        self.fs.mkdirs(path.getParent())
+        try:
+            if self.fs.getScheme() == "file":  # Hadoop's local files look first and create then
+                none = self.spark.sparkContext._gateway.new_array(self.jvm.java.nio.file.attribute.FileAttribute, 0)
+                self.jvm.java.nio.file.Files.createFile(self.jvm.java.io.File(path.toUri().getPath()).toPath(), none)
+            out = self.fs.create(path, self.fs.getScheme() == "file")
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True

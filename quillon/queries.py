@@ -17,8 +17,11 @@ from .operators.store import Store
 from .plans import acl
 from .plans.predicates import rows, whole
 from .plans.requests import SIGNAL_OF, LogRequest, MetricRequest, Request, TraceRequest
+from . import sql
+from .schema import SIGNALS
+from .server import answer
 from .session import shared_folder
-from .sources import adapters, otlp_json
+from .sources import adapters, framed_log, otlp_binary, otlp_json
 from .streaming.ingest import start
 
 NANOS = 1_000_000_000
@@ -170,6 +173,116 @@ def store_delete(spark, sf_dir):
     return store.table("traces").select("tenant_id", "service", "time_unix_nano", "span_id")
 
 
+def _stored(spark, sf_dir, name: str, signal: str, resolver: Resolver = CONFIG_DEFAULT, index: bool = False) -> Store:
+    """A store with the signal's envelopes, written in two parts on two days."""
+    store = Store(spark, _scratch(spark, name), resolver, index=index)
+    scopes = SIGNALS[signal][0]
+    for k in (0, 1):
+        store.write(signal, _signal(spark, sf_dir, signal).where(f"pmod(ingest_seq, 2) = {k}").select("resource", scopes), ingest_date=f"2024-02-0{k + 1}")
+    return store
+
+
+def store_read_traces(spark, sf_dir):
+    return _stored(spark, sf_dir, "read", "traces", _TENANTS).read(TraceRequest("svc-5", "svc-5", T0 + 5 * DAY, T0 + 15 * DAY)).select(*HEAD["traces"])
+
+
+def store_read_logs(spark, sf_dir):
+    return _stored(spark, sf_dir, "read", "logs", _TENANTS).read(LogRequest("svc-3", severity=17, start_time=T0 + DAY)).select(*HEAD["logs"])
+
+
+def store_read_metrics(spark, sf_dir):
+    return _stored(spark, sf_dir, "read", "metrics", _TENANTS).read(MetricRequest("svc-4", metric_name="purchase", end_time=T0 + 12 * DAY)).select(*HEAD["metrics"])
+
+
+def store_trace_by_id(spark, sf_dir):
+    """A trace by the index of a store."""
+    store = _stored(spark, sf_dir, "lookup", "traces", _TENANTS, index=True)
+    return silver.spans(store.read_trace_by_id("svc-5", TRACE)).where(F.col("trace_id") == TRACE).select("service", "trace_id", "span_id", "name")
+
+
+def index_rebuild(spark, sf_dir):
+    """Days of each trace, from an index made of stored traces."""
+    store = _stored(spark, sf_dir, "index", "traces", _TENANTS)
+    store.rebuild_index()
+    return store.trace_index().select("tenant_id", "trace_id", F.date_format("ingest_date", "yyyy-MM-dd").alias("day"))
+
+
+def store_delete_logs(spark, sf_dir):
+    store = _stored(spark, sf_dir, "delete", "logs", _TENANTS)
+    store.delete_logs(LogRequest("svc-3", severity=17))
+    return store.table("logs").select(*HEAD["logs"])
+
+
+def store_delete_metrics(spark, sf_dir):
+    store = _stored(spark, sf_dir, "delete", "metrics", _TENANTS)
+    store.delete_metrics(MetricRequest("svc-4", metric_name="purchase"))
+    return store.table("metrics").select(*HEAD["metrics"])
+
+
+def concurrent_compaction(spark, sf_dir):
+    """Rows of a store of which a part was appended by another one between the read and the commit of a compaction."""
+    store = Store(spark, _scratch(spark, "concurrent"), _TENANTS, index=False)
+    for k in range(2):
+        store.write_traces(_envelopes(spark, sf_dir, f"pmod(ingest_seq, 3) = {k}"), ingest_date="2024-02-01")
+    other = Store(spark, store.root, _TENANTS, index=False)
+    compact(store, "traces", before_commit=lambda: other.write_traces(_envelopes(spark, sf_dir, "pmod(ingest_seq, 3) = 2"), ingest_date="2024-02-01"))
+    return store.table("traces").select("tenant_id", "service", "time_unix_nano", "span_id")
+
+
+def store_time_travel(spark, sf_dir):
+    """A store as it was before a delete."""
+    store = _stored(spark, sf_dir, "travel", "logs", _TENANTS)
+    version = store.version("logs") - 1
+    store.delete_logs(LogRequest("svc-3"))
+    return store.read(LogRequest("svc-3"), as_of=version).select(*HEAD["logs"])
+
+
+def otlp_binary_roundtrip(spark, sf_dir):
+    """Traces as protobuf payloads of framed logs, read again and stored."""
+    folder = _scratch(spark, "binary")
+    otlp_json.write_traces(_envelopes(spark, sf_dir), f"{folder}/lines")
+    logs = framed_log.framed(otlp_binary.payloads(spark.read.text(f"{folder}/lines"), "traces"))
+    payloads = framed_log.records_of(logs).where("error is null")
+    store = Store(spark, f"{folder}/store", _TENANTS, index=False)
+    store.write_traces(otlp_json.envelopes(otlp_binary.lines(payloads, "traces", strict=True), "traces"), ingest_date="2024-02-01")
+    return store.table("traces").select("tenant_id", "service", "time_unix_nano", "span_id")
+
+
+def histogram_roundtrip(spark, sf_dir):
+    """Histograms of values, one an event, as request lines, protobuf payloads and stored points; buckets summed by service."""
+    e, scratch = adapters.events(spark, sf_dir), _scratch(spark, "histogram")
+    time, value = F.col("time_unix_nano").cast("string"), F.col("value")
+    bounds = F.array(F.lit(10.0), F.lit(50.0))
+    counts = F.array(*(c.cast("int").cast("string") for c in (value <= 10, (value > 10) & (value <= 50), value > 50)))
+    point = F.struct(time.alias("timeUnixNano"), F.lit("1").alias("count"), F.round(value * 100).alias("sum"), counts.alias("bucketCounts"), bounds.alias("explicitBounds"))
+    data = F.struct(F.array(point).alias("dataPoints"), F.lit(2).alias("aggregationTemporality"))
+    metric = F.struct(F.lit("sizes").alias("name"), data.alias("histogram"))
+    name = F.struct(F.lit("service.name").alias("key"), F.struct(F.col("service").alias("stringValue")).alias("value"))
+    one = F.struct(F.struct(F.array(name).alias("attributes")).alias("resource"), F.array(F.struct(F.array(metric).alias("metrics"))).alias("scopeMetrics"))
+    lines = e.select(F.to_json(F.struct(F.array(one).alias("resourceMetrics"))).alias("value"))
+    store = Store(spark, scratch, _TENANTS, index=False)
+    store.write_metrics(otlp_json.envelopes(otlp_binary.lines(otlp_binary.payloads(lines, "metrics"), "metrics", strict=True), "metrics"), ingest_date="2024-02-01")
+    p = silver.points(store.table("metrics"))
+    total = lambda c, n: F.sum(c).cast("bigint").alias(n)
+    return p.groupBy("tenant_id", "metric_type").agg(total("count", "points"), *(total(F.get("bucket_counts", F.lit(i)), f"bucket_{i}") for i in range(3)), total(F.size("explicit_bounds"), "bounds"), F.sum("value").alias("total"))
+
+
+def http_counts(spark, sf_dir):
+    """What the HTTP routes answer for a tenant of a store."""
+    store = _stored(spark, sf_dir, "http", "traces", _TENANTS)
+    urls = ("/v1/traces?tenant=svc-5", "/v1/traces?tenant=svc-5&service=svc-5", "/v1/traces?tenant=svc-5&service=svc-6", f"/v1/traces/{TRACE}?tenant=svc-5", "/v1/logs?tenant=svc-5", "/v1/metrics?tenant=svc-5")
+    return spark.createDataFrame([(u, answer(store, u)[1]["count"]) for u in urls], "url string, n bigint")
+
+
+def trace_tree_sql(spark, sf_dir):
+    """A trace's tree by the SQL table function over a store."""
+    store = Store(spark, _scratch(spark, "tree"), _TENANTS, index=False)
+    e = adapters.with_parent(adapters.events(spark, sf_dir))
+    store.write_traces(adapters.traces(e).select("resource", "scope_spans"), ingest_date="2024-02-01")
+    sql.register(store)
+    return spark.sql(f"SELECT span_id, parent_span_id, service, name, CAST(depth AS BIGINT) AS depth FROM trace_tree('svc-5', '{TRACE}')")
+
+
 def stream_ingest_roundtrip(spark, sf_dir):
     """Envelopes written as request lines, streamed into a store, and read again."""
     folder = _scratch(spark, "stream")
@@ -237,7 +350,7 @@ def queries() -> dict:
     out = {n: _read(r) for n, (r, _) in READS.items()}
     out |= {"tenant_resolve_fallback": _resolve(Resolver("attribute_based", (), "fallback")), "tenant_resolve_static": _resolve(Resolver("static", (), "solo")), "tenant_resolve_config": _resolve(CONFIG_DEFAULT)}
     out |= {f"sort_key_{s}": _keys(s) for s in HEAD}
-    named = (trace_by_id, count_by_tenant, ordered_scan, upsert_latest, delete_by_predicate, tombstone_anti_join, ttl_retained, time_travel, compaction_invariant, store_delete, stream_ingest_roundtrip, trace_log_correlation, service_graph, span_tree, metric_downsample, metric_agg_by_attr, exemplar_link, acl_filter, tail_sample, log_search, resource_dimension)
+    named = (trace_by_id, count_by_tenant, ordered_scan, upsert_latest, delete_by_predicate, tombstone_anti_join, ttl_retained, time_travel, compaction_invariant, store_delete, store_read_traces, store_read_logs, store_read_metrics, store_trace_by_id, index_rebuild, store_delete_logs, store_delete_metrics, concurrent_compaction, store_time_travel, otlp_binary_roundtrip, histogram_roundtrip, http_counts, trace_tree_sql, stream_ingest_roundtrip, trace_log_correlation, service_graph, span_tree, metric_downsample, metric_agg_by_attr, exemplar_link, acl_filter, tail_sample, log_search, resource_dimension)
     return out | {f.__name__: f for f in named}
 
 
@@ -254,7 +367,24 @@ def oracle_sql() -> dict[str, str]:
     gone = f"tenant_id = 'tenant-1' AND service = 'svc-5' AND time_unix_nano >= {T0 + 5 * DAY} AND time_unix_nano < {T0 + 15 * DAY}"
     own = "SELECT service AS tenant_id, service, time_unix_nano, span_id FROM sig"
     cents = "round(value * 100)"
+    # with the service as the tenant
+    mine = {t: f"SELECT {h.replace('tenant_id', 'service AS tenant_id')} FROM sig" for t, h in SQL_HEAD.items()}
+    late, one = f"time_unix_nano >= {T0 + DAY}", f"trace_id = '{TRACE}'"
+    counts = lambda where: f"(SELECT count(*) FROM sig WHERE {where})"
     return out | {
+        "store_read_traces": f"{SIG}{mine['traces']} WHERE {gone.removeprefix("tenant_id = 'tenant-1' AND ")}",
+        "store_read_logs": f"{SIG}{mine['logs']} WHERE service = 'svc-3' AND severity_number = 17 AND {late}",
+        "store_read_metrics": f"{SIG}{mine['metrics']} WHERE service = 'svc-4' AND event_type = 'purchase' AND time_unix_nano < {T0 + 12 * DAY}",
+        "store_trace_by_id": f"{SIG}SELECT service, trace_id, span_id, event_type AS name FROM sig WHERE {one}",
+        "index_rebuild": f"{SIG}SELECT DISTINCT service AS tenant_id, trace_id, CASE event_id % 2 WHEN 0 THEN '2024-02-01' ELSE '2024-02-02' END AS day FROM sig",
+        "store_delete_logs": f"{SIG}{mine['logs']} WHERE NOT (service = 'svc-3' AND severity_number = 17)",
+        "store_delete_metrics": f"{SIG}{mine['metrics']} WHERE NOT (service = 'svc-4' AND event_type = 'purchase')",
+        "concurrent_compaction": f"{SIG}{own}",
+        "store_time_travel": f"{SIG}{mine['logs']} WHERE service = 'svc-3'",
+        "otlp_binary_roundtrip": f"{SIG}{own}",
+        "histogram_roundtrip": f"{SIG}SELECT service AS tenant_id, 'histogram' AS metric_type, count(*) AS points, count(*) FILTER (WHERE value <= 10) AS bucket_0, count(*) FILTER (WHERE value > 10 AND value <= 50) AS bucket_1, count(*) FILTER (WHERE value > 50) AS bucket_2, 2 * count(*) AS bounds, sum({cents}) AS total FROM sig GROUP BY service",
+        "http_counts": f"""{SIG}SELECT u AS url, n FROM (VALUES ('/v1/traces?tenant=svc-5', {counts("service = 'svc-5'")}), ('/v1/traces?tenant=svc-5&service=svc-5', {counts("service = 'svc-5'")}), ('/v1/traces?tenant=svc-5&service=svc-6', 0), ('/v1/traces/{TRACE}?tenant=svc-5', {counts(one + " AND service = 'svc-5'")}), ('/v1/logs?tenant=svc-5', 0), ('/v1/metrics?tenant=svc-5', 0)) AS t(u, n)""",
+        "trace_tree_sql": f"{_TREE}SELECT span_id, parent_span_id, service, event_type AS name, n - 1 AS depth FROM par WHERE {one} AND service = 'svc-5'",
         "tenant_resolve_fallback": "SELECT event_id, " + _RESOLVED.format("WHEN 3 THEN 'group-' || user_id", "fallback"),
         "tenant_resolve_static": "SELECT event_id, 'solo' AS tenant_id FROM events",
         "tenant_resolve_config": "SELECT event_id, " + _RESOLVED.format("", "default"),

@@ -76,7 +76,7 @@ def logs(e: DataFrame) -> DataFrame:
 
 
 def metrics(e: DataFrame) -> DataFrame:
-    exemplar = F.struct(F.col("time_unix_nano"), F.col("value").alias("value_double"), "trace_id", "span_id")
+    exemplar = F.struct(F.col("time_unix_nano"), F.col("value").alias("value_double"), "trace_id", "span_id", F.lit(None).cast("bigint").alias("value_int"), F.array().cast(ATTRIBUTES).alias("filtered_attributes"))
     exemplars = F.when(F.col("event_type") == "error", F.array(exemplar)).otherwise(F.array().cast(f"array<{EXEMPLAR}>"))
     point = F.struct("time_unix_nano", F.col("value").alias("value_double"), F.lit(None).cast("bigint").alias("value_int"), F.array().cast(ATTRIBUTES).alias("attributes"), exemplars.alias("exemplars"))
     metric = F.struct(F.col("event_type").alias("name"), F.lit("1").alias("unit"), F.col("metric_type").alias("type"), F.array(point).alias("points"))

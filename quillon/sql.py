@@ -3,7 +3,8 @@
 ``register(store)`` makes the views traces, logs, metrics, spans, log_records
 and points, and the functions
 
-* ``trace_tree(tenant, trace_id)``: spans of a trace with their depth and path,
+* ``trace_tree(tenant, trace_id)``: spans of a trace with their depth and path, to any depth
+  (spans on a cycle have no root and are not in it),
 * ``exemplar_link(tenant, metric)``: spans that a metric's exemplars name,
 * ``correlated_logs(tenant, trace_id)``: log records of a trace,
 * ``resource_filter(resource, key, value)``: whether a resource has an attribute.
@@ -17,9 +18,6 @@ from .operators import silver
 from .operators.store import Store
 from .schema import RESOURCE, SIGNALS
 
-#: Depth at which a tree is cut off, as a trace may hold a cycle.
-DEEPEST = 90
-
 FUNCTIONS = (
     f"""CREATE OR REPLACE TEMPORARY FUNCTION resource_filter(r {RESOURCE}, k STRING, v STRING) RETURNS BOOLEAN
     RETURN coalesce(exists(r.attributes, a -> a.key = k AND a.value.string_value = v), false)""",
@@ -31,11 +29,11 @@ FUNCTIONS = (
     """CREATE OR REPLACE TEMPORARY FUNCTION correlated_logs(tenant STRING, id STRING)
     RETURNS TABLE (service STRING, severity_number INT, body STRING, span_id STRING, event_time_unix_nano BIGINT)
     RETURN SELECT service, severity_number, body.string_value, span_id, event_time_unix_nano FROM log_records WHERE tenant_id = tenant AND trace_id = lower(id)""",
-    f"""CREATE OR REPLACE TEMPORARY FUNCTION trace_tree(tenant STRING, id STRING)
+    """CREATE OR REPLACE TEMPORARY FUNCTION trace_tree(tenant STRING, id STRING)
     RETURNS TABLE (span_id STRING, parent_span_id STRING, service STRING, name STRING, depth INT, path STRING)
     RETURN WITH RECURSIVE own AS (SELECT span_id, nullif(parent_span_id, '') AS parent_span_id, service, name FROM spans WHERE tenant_id = tenant AND trace_id = lower(id)),
-      tree AS (SELECT span_id, parent_span_id, service, name, 0 AS depth, span_id AS path FROM own WHERE parent_span_id IS NULL OR parent_span_id NOT IN (SELECT span_id FROM own WHERE span_id IS NOT NULL)
-        UNION ALL SELECT o.span_id, o.parent_span_id, o.service, o.name, t.depth + 1, concat(t.path, '/', o.span_id) FROM own o JOIN tree t ON o.parent_span_id = t.span_id WHERE t.depth < {DEEPEST})
+      tree MAX RECURSION LEVEL 1000000 AS (SELECT span_id, parent_span_id, service, name, 0 AS depth, span_id AS path FROM own WHERE parent_span_id IS NULL OR parent_span_id NOT IN (SELECT span_id FROM own WHERE span_id IS NOT NULL)
+        UNION ALL SELECT o.span_id, o.parent_span_id, o.service, o.name, t.depth + 1, concat(t.path, '/', o.span_id) FROM own o JOIN tree t ON o.parent_span_id = t.span_id WHERE instr(concat('/', t.path, '/'), concat('/', o.span_id, '/')) = 0)
       SELECT span_id, parent_span_id, service, name, depth, path FROM tree""",
 )
 

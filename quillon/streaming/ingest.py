@@ -13,10 +13,9 @@ SIGNALS = ("traces", "logs", "metrics")
 def start(store: Store, signal: str, landing: str, checkpoint: str, once: bool = False, interval: str = "1 second") -> StreamingQuery:
     """Stream a folder of request lines into the store.
 
-    A batch is appended under the name of its number, so that a batch that is
-    run again after a crash is not written twice once its write is recorded.
-    A crash between Spark's commit of the files and that record can repeat a
-    batch: readers get its rows once with ``dedup``.
+    A batch is a write under the name of its number: its rows are seen with
+    the commit that has the name, so a batch that is run again after a crash,
+    wherever that came, is there exactly once.
     """
     def batch(df, number: int) -> None:
         df = df.persist()
@@ -32,10 +31,10 @@ def start(store: Store, signal: str, landing: str, checkpoint: str, once: bool =
     return query
 
 
-def start_ingest(store: Store, landing: str, checkpoint: str, once: bool = False) -> list[StreamingQuery]:
+def start_ingest(store: Store, landing: str, checkpoint: str, once: bool = False, interval: str = "1 second") -> list[StreamingQuery]:
     """One stream per signal, from landing/<signal>."""
     out = []
     for signal in SIGNALS:
         store.folder.fs.mkdirs(store.folder.jvm.org.apache.hadoop.fs.Path(f"{landing}/{signal}"))
-        out.append(start(store, signal, f"{landing}/{signal}", f"{checkpoint}/{signal}", once))
+        out.append(start(store, signal, f"{landing}/{signal}", f"{checkpoint}/{signal}", once, interval))
     return out

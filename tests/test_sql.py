@@ -6,7 +6,7 @@ from fixtures import NOW, frame, log, metric, span, trace
 from quillon import __main__ as cli
 from quillon.operators.store import IngestStore, Store
 from quillon.plans.requests import TraceRequest
-from quillon.sources import otlp_json
+from quillon.sources import framed_log, otlp_binary, otlp_json
 from quillon.sql import register
 
 
@@ -27,6 +27,26 @@ def test_functions(spark, tmp_path):
     assert rows("SELECT count(*) FROM traces WHERE resource_filter(resource, 'env', 'x')") == [(0,)]
 
 
+def test_deep_trees_and_cycles(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/s", index=False)
+    chain = [span(NOW, "cc", str(i), str(i - 1) if i else None) for i in range(200)]
+    round_ = [span(NOW, "cc", "x", "y"), span(NOW, "cc", "y", "x"), span(NOW, "cc", "0", "7")]  # a cycle, and a root again
+    store.write_traces(frame(spark, "traces", [trace("s", *chain, *round_)]), "t")
+    register(store)
+    rows = spark.sql("SELECT span_id, max(depth) AS depth FROM trace_tree('t', 'cc') GROUP BY 1").collect()
+    assert {r.span_id: r.depth for r in rows if r.span_id != "0"} == {str(i): i for i in range(1, 200)}
+
+
+def test_dump_shows_every_record(spark, tmp_path, capsys):
+    payload = otlp_binary.encode({"resource": {"attributes": [{"key": "service.name", "value": {"stringValue": "s"}}]}, "scopeSpans": [{"spans": [{"name": "a"}, {"name": "b"}]}]}, "ResourceSpans")
+    framed_log.append(f"{tmp_path}/2.wal", [payload] * 1500)
+    framed_log.append(f"{tmp_path}/10.wal", [b"\xff"])
+    assert cli.main(["dump", str(tmp_path)]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert len(lines) == 1502 and lines[-1] == "1501 records" and lines[-2].endswith("\ts\t2")
+    assert [f.rsplit("/", 1)[1] for f in framed_log.discover(spark, str(tmp_path))] == ["2.wal", "10.wal"]
+
+
 def test_index_is_rebuilt(spark, tmp_path):
     plain = Store(spark, f"{tmp_path}/s", index=False)
     for day in ("2024-01-01", "2024-01-02"):

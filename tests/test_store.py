@@ -1,6 +1,5 @@
 """The store: writes, reads, deletes, retention and compaction."""
 
-import json
 from datetime import date
 
 import pytest
@@ -9,6 +8,7 @@ from fixtures import ID32, NOW, frame, log, metric, span, trace
 from quillon.functions.tenant import Resolver
 from quillon.operators.files import Folder
 from quillon.operators.maintenance import compact, expire, sweep
+from quillon.operators.manifest import Conflict, Manifest
 from quillon.operators.store import Store
 from quillon.plans.requests import LogRequest, MetricRequest, TraceRequest
 from quillon.server import answer
@@ -110,25 +110,89 @@ def test_compaction_keeps_rows(spark, tmp_path):
     for k in range(3):
         store.write_traces(frame(spark, "traces", [trace(s, span(NOW + k)) for s in ("a", "b")]), ingest_date="2024-01-01")
     rows = lambda: sorted(map(str, store.table("traces").drop("ingest_row").collect()))
-    before, files = rows(), len(store.folder.files("traces"))
+    files = lambda: sum(n for n, _ in store.manifest("traces").snapshot().live.values())
+    before, many = rows(), files()
     assert compact(store, "traces") == 2
-    assert rows() == before and len(store.folder.files("traces")) == 2 < files
+    assert rows() == before and files() == 2 < many
     assert compact(store, "traces") == 0
     assert store.read(TraceRequest("a", "a")).count() == 3
     assert sweep(store, date(2024, 1, 2))["compacted"] == 0
 
 
-def test_swap_is_finished_after_a_crash(spark, tmp_path):
+def test_appends_during_a_compaction_or_delete_stay(spark, tmp_path):
+    store, other = (Store(spark, f"file://{tmp_path}/s", BY_SERVICE) for _ in range(2))
+    for k in range(3):
+        store.write_traces(frame(spark, "traces", [trace(s, span(NOW + k)) for s in ("a", "b")]), ingest_date="2024-01-01")
+    reader = store.read(TraceRequest("a"))  # of the state before
+    append = lambda: other.write_traces(frame(spark, "traces", [trace("a", span(NOW + 9))] * 5), ingest_date="2024-01-01")
+    assert compact(store, "traces", before_commit=append) == 2
+    assert store.read(TraceRequest("a")).count() == 8 and reader.count() == 3
+    assert store.read(TraceRequest("b")).count() == 3
+    # a delete that another compaction crosses is done again, on what is there then
+    state = store.manifest("traces").snapshot()
+    real, calls = store.put, []
+
+    def put(*args):
+        if not calls:
+            calls.append(compact(other, "traces"))
+        return real(*args)
+
+    store.put = put
+    assert store.delete_traces(TraceRequest("a", "a", NOW + 9)) == 5 and calls == [1]
+    assert store.read(TraceRequest("a")).count() == 3
+    assert store.read(TraceRequest("a"), as_of=state.version).count() == 8  # what was there then
+    with pytest.raises(Conflict):
+        store.manifest("traces").commit(remove=list(state.live))
+
+
+def test_sweep_deletes_what_nobody_needs(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", BY_SERVICE)
+    for k in range(2):
+        store.write_logs(frame(spark, "logs", [log("a", observed=NOW + k)]), ingest_date="2024-01-01")
+    store.folder.write("logs/c=lost/tenant_id=a/ingest_date=2024-01-01/x.parquet", "of a writer that died")
+    files = lambda: [p for p, _ in store.folder.files("logs")]
+    assert sweep(store, date(2024, 1, 2))["deleted"] == 0 and len(files()) == 4  # may still be read
+    assert store.vacuum(grace=0) == 2 + 2 and len(files()) == 2  # both old directories, which held nothing else
+    assert store.vacuum(grace=0, orphans=0) == 1 and len(files()) == 1
+    assert store.read(LogRequest("a")).count() == 2
+
+
+def test_commits_are_exclusive_and_written_down(spark, tmp_path):
     folder = Folder(spark, f"file://{tmp_path}/f")
-    folder.write("t/p1/old", "1")
-    folder.write("t/p2/old", "1")
-    folder.write("_staging/x/t/p1/new", "2")
-    plan = {"staged": "_staging/x", "places": ["t/p1", "t/p2"], "new": ["t/p1"]}
-    folder.write("_intents/a.json", json.dumps(plan))
-    folder.delete("t/p1")  # the crash came after the old partition went
-    assert folder.finish() == 1
-    assert folder.names("t") == ["p1"] and folder.names("t/p1") == ["new"]
-    assert folder.finish() == 0 and not folder.exists("_staging/x")
+    m = Manifest(folder, "t")
+    assert [m.commit({f"c={i}/tenant_id=x": [1, 10]}, tag=f"b-{i}") for i in range(45)] == list(range(45))
+    assert m.commit({"c=again": [1, 1]}, tag="b-7") == 7
+    assert not folder.create("_log/t/00000000000000000044.json", "{}")
+    assert m.commit(remove=["c=0/tenant_id=x"], marks={"f": 3}) == 45
+    assert len(m.snapshot().live) == 44 and len(m.snapshot(44).live) == 45 and len(m.snapshot(9).live) == 10
+    assert m.forget(10) == 20 + 0 and len(m.snapshot().live) == 44 and m.snapshot().marks == {"f": 3}
+    with pytest.raises(ValueError):
+        m.snapshot(9)
+    folder.create("_log/t/00000000000000000046.json", "")  # a writer that died before it wrote
+    folder.fs.setTimes(folder._path("_log/t/00000000000000000046.json"), 1000, 1000)
+    assert m.commit({"c=z": [1, 1]}) == 47 and len(m.snapshot().live) == 45
+
+
+def test_wide_partitions_are_cut_into_ranges(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", index=False)
+    rows = [trace(f"s{i % 7}", span(NOW + i, trace_id=f"{i:032x}")) for i in range(400)]
+    for k in range(12):
+        store.write_traces(frame(spark, "traces", rows[k::12]), "t", ingest_date="2024-01-01")
+    store.write_traces(frame(spark, "traces", rows[:1]), "u", ingest_date="2024-01-01")
+    store.write_traces(frame(spark, "traces", rows[:1]), "u", ingest_date="2024-01-01")
+    size = sum(b for _, b in store.manifest("traces").snapshot().live.values())
+    assert compact(store, "traces", target=size // 4) == 2
+    assert store.table("traces").count() == 402
+    files = [p for p, _ in store.folder.files("traces") if "tenant_id=t/" in p]
+    live = [d for d in store.manifest("traces").snapshot().live if "tenant_id=t/" in d]
+    kept = sorted(f for f in files if any(f"traces/{d}/" in f for d in live))
+    assert len(kept) > 1
+    spans = []
+    for f in kept:
+        r = spark.read.parquet(f"file://{tmp_path}/s/{f}").selectExpr("min(struct(service, time_unix_nano)) AS a", "max(struct(service, time_unix_nano)) AS b").first()
+        spans.append((tuple(r.a), tuple(r.b)))
+    assert all(x[1] <= y[0] for x, y in zip(sorted(spans), sorted(spans)[1:]))  # ranges that do not overlap
+    assert compact(store, "traces", target=size // 4) == 0
 
 
 def test_a_named_write_happens_once(spark, store):
@@ -161,4 +225,5 @@ def test_reads_prune_and_push(spark, store):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(service,a)" in plan and "GreaterThanOrEqual(time_unix" in plan
     assert "isnotnull(tenant_id" in plan.partition("PartitionFilters: ")[2].partition("]")[0]
+    assert "parquet" not in store.read(TraceRequest("u"))._jdf.queryExecution().executedPlan().toString()  # no directory of another tenant
     assert "scope_spans" not in plan and "resource" not in plan
