@@ -29,8 +29,8 @@ COSINE = 0.98
 BLOCK, BLOCK_NUMBERS, SAMPLE, PIVOTS = 8192, 4 << 20, 8192, 2048
 #: Allowance for rounding in bounds (never in the comparison itself).
 SLACK = 1e-6
-#: Rows that are compared with others at once.
-STEP = 512
+#: Rows that are compared with others at once; comparisons of which the hits are listed one by one.
+STEP, FEW = 512, 4096
 
 
 class Node:
@@ -46,27 +46,34 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _rounding(x: np.ndarray) -> float:
+    """What a cosine of two rows may be off by in single precision; bounds allow for it, comparisons are in double."""
+    return max(1e-5, 1.2e-7 * x.shape[1])
+
+
 def _cover(x: np.ndarray, rows: np.ndarray, centre: int, level: float) -> list[Node]:
     """Nodes of at most this radius over the rows: centres are further apart than it, the given one is the first."""
     centres, whose, far = [centre], np.zeros(len(rows), np.int64), np.zeros(len(rows))
+    eps = _rounding(x)
+    reach = 1 - level * level / 2
     for lo in range(0, len(rows), STEP):
         part = rows[lo : lo + STEP]
-        d = _distance(x[part], x[centres])
-        near = d.argmin(1)
-        away = d[np.arange(len(part)), near]
-        away[part == centre] = 0.0
-        left = np.flatnonzero(away > level)
+        c = x[part] @ x[centres].T
+        near = c.argmax(1)
+        best = c[np.arange(len(part)), near].astype(np.float64)
+        best[part == centre] = 2.0
+        left = np.flatnonzero(best < reach)
         if len(left):  # a row that no centre covers is one, and may cover rows after it
-            d = _distance(x[part[left]], x[part[left]])
-            np.fill_diagonal(d, 0.0)
+            c = x[part[left]] @ x[part[left]].T
+            np.fill_diagonal(c, 2.0)  # a centre is no distance from itself
             open_ = np.ones(len(left), bool)
             for i in range(len(left)):
                 if open_[i]:
-                    took = open_ & (d[i] <= level)
-                    near[left[took]], away[left[took]] = len(centres), d[i][took]
+                    took = open_ & (c[i] >= reach)
+                    near[left[took]], best[left[took]] = len(centres), c[i][took]
                     open_ &= ~took
                     centres.append(int(part[left[i]]))
-        whose[lo : lo + STEP], far[lo : lo + STEP] = near, away
+        whose[lo : lo + STEP], far[lo : lo + STEP] = near, np.where(best >= 2.0, 0.0, np.sqrt(np.maximum(0.0, 2 - 2 * (best - eps))))
     order = np.argsort(whose, kind="stable")
     first = np.searchsorted(whose[order], np.arange(len(centres)))
     return [Node(c, r, float(f)) for c, r, f in zip(centres, np.split(rows[order], first[1:]), np.maximum.reduceat(far[order], first))]
@@ -74,7 +81,8 @@ def _cover(x: np.ndarray, rows: np.ndarray, centre: int, level: float) -> list[N
 
 def tree(x: np.ndarray, leaf: float) -> Node:
     """Nested levels over unit vectors: radii 1, 1/2, 1/4, ... down to ``leaf``; a node's centre is that of its first child."""
-    root = Node(0, np.arange(len(x)), float(_distance(x[:1], x)[0].max()))
+    x = x.astype(np.float32)
+    root = Node(0, np.arange(len(x)), float(_distance(x[:1], x)[0].max()) + 10 * _rounding(x) ** 0.5)
     todo = [(root, 1.0)]
     while todo:
         node, level = todo.pop()
@@ -90,11 +98,12 @@ def tree(x: np.ndarray, leaf: float) -> Node:
 def _near(x: np.ndarray, ps: list[Node], y: np.ndarray, qs: list[Node], r: float, same: bool):
     """Pairs (i, j) of nodes that their radii do not rule out, part by part; of the same nodes i < j only."""
     cp, cq = np.array([k.centre for k in ps]), np.array([k.centre for k in qs])
-    rp, rq = np.array([k.radius for k in ps]), np.array([k.radius for k in qs])
-    cols, wide = y[cq], max(STEP, 1 << 20)
+    rp, rq = np.array([k.radius for k in ps], np.float32), np.array([k.radius for k in qs], np.float32)
+    cols, wide, eps = y[cq], 1 << 20, _rounding(x)
     for lo in range(0, len(ps), STEP):
         for at in range(lo if same else 0, len(qs), wide):
-            near = _distance(x[cp[lo : lo + STEP]], cols[at : at + wide]) <= r + rp[lo : lo + STEP, None] + rq[None, at : at + wide] + SLACK
+            bound = r + rp[lo : lo + STEP, None] + rq[None, at : at + wide] if rp.any() or rq.any() else r
+            near = x[cp[lo : lo + STEP]] @ cols[at : at + wide].T >= np.float32(1 - eps) - np.float32(0.5) * np.square(bound, dtype=np.float32) - np.float32(1e-6)
             if same and at == lo:
                 near = np.triu(near, 1)
             i, j = np.nonzero(near)
@@ -108,6 +117,7 @@ def traverse(x: np.ndarray, a: Node, y: np.ndarray, b: Node, r: float):
     (rows, rows) with the same array stands for the pairs within it.  Pairs of
     single rows come together, as (rows, rows, True): each with its partner.
     """
+    x, y = x.astype(np.float32), y.astype(np.float32)
     todo = [(a, b)]
     while todo:
         p, q = todo.pop()
@@ -168,14 +178,34 @@ def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray |
         i, j = _root(label, i), _root(label, j)
         label[max(i, j)] = min(i, j)
 
-    for p, q, matched in traverse(x, a, y2, b, r):
-        if matched:
-            hit = np.einsum("ij,ij->i", x[p], y2[q]) >= cosine
-            p, q = p[hit], q[hit]
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def count() -> None:
+        """Links that were found pair by pair, many at once."""
+        if held:
+            p, q = map(np.concatenate, zip(*held))
             np.add.at(total, p, n2[q])
             np.add.at(total, q + shift, nx[p])
             for i, j in zip(p.tolist(), (q + shift).tolist()):
                 join(i, j)
+            held.clear()
+
+    waiting = 0
+    for p, q, matched in traverse(x, a, y2, b, r):
+        if matched or len(p) * len(q) <= FEW:
+            if matched:
+                hit = np.einsum("ij,ij->i", x[p], y2[q]) >= cosine
+                p, q = p[hit], q[hit]
+            else:
+                i, j = np.nonzero(x[p] @ y2[q].T >= cosine)
+                if p is q:
+                    i, j = i[i < j], j[i < j]
+                p, q = p[i], q[j]
+            held.append((p, q))
+            waiting += len(p) + 16
+            if waiting > 1 << 18:
+                count()
+                waiting = 0
             continue
         for lo in range(0, len(p), STEP):
             rows = p[lo : lo + STEP]
@@ -196,6 +226,7 @@ def links(x: np.ndarray, nx: np.ndarray, y: np.ndarray | None, ny: np.ndarray |
             i, j = np.nonzero(hit[full] & (of_rows[:, None] != of_q[None, :]))
             for i, j in np.unique(np.stack((of_rows[i], of_q[j]), 1), axis=0).tolist():
                 join(i, j)
+    count()
     while True:
         up = label[label]
         if (up == label).all():
