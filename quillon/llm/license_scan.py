@@ -9,6 +9,9 @@ covered spans of the template they come from.
 
 from __future__ import annotations
 
+import bisect
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,18 +21,8 @@ from .text import pieces, words
 
 #: Phrases of the base labels.  Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Openings and grants by which licences are usually named.  Fixed values.
-TEMPLATES = {
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"],
-    "apache-2": ["licensed under the apache license version 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"],
-    "gpl-3": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or any later version"],
-    "gpl-2": ["licensed under the gnu general public license version 2"],
-    "lgpl-3": ["licensed under the gnu lesser general public license version 3"],
-    "bsd-3": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"],
-}
+#: Texts by which licences are told, one a line, after their label: names, grants, conditions and disclaimers.
+LICENCES = os.path.join(os.path.dirname(__file__), "licences.txt")
 #: A match counts in a chain from so many tokens on; a label is given from so much of a template covered.
 MIN_MATCH, MIN_COVER = 3, 0.75
 #: Tokens that may stand between two matches of one chain.
@@ -37,6 +30,17 @@ MAX_GAP = 8
 FIELDS = T.StructType().add("n_words", "long").add("base", T.ArrayType(T.StructType().add("label", "string").add("start", "long").add("end", "long"))).add("covered", T.ArrayType(T.StructType().add("label", "string").add("start", "long").add("end", "long").add("cover", "double"))).add("score", "double")
 
 
+def load(path: str = LICENCES) -> dict[str, list[str]]:
+    """Templates by label, from a file that the driver reaches."""
+    out: dict[str, list[str]] = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            label, _, text = line.partition(":")
+            if text.split():
+                out.setdefault(label.strip(), []).append(" ".join(text.split()))
+    return out
+
+
 class Automaton:
     """A suffix automaton of several token sequences (lists of ints)."""
 
@@ -78,15 +82,15 @@ class Automaton:
             last = self._extend(last, t)
 
     def mark(self, sequences: list[list[int]]) -> None:
-        """Once all is added: in each state, by sequence, the last index of it that ends there."""
-        self.at: list[dict[int, int]] = [{} for _ in self.link]
+        """Once all is added: in each state, by sequence, all indices of it that end there."""
+        self.at: list[dict[int, list[int]]] = [{} for _ in self.link]
         for k, tokens in enumerate(sequences):
             state = 0
             for i, t in enumerate(tokens):
                 state = self.next[state][t]
                 up = state
-                while up > 0:  # a later index wins only if none is there yet: the first occurrence stays
-                    self.at[up].setdefault(k, i)
+                while up > 0:
+                    self.at[up].setdefault(k, []).append(i)
                     up = self.link[up]
         for k, tokens in enumerate(sequences):
             state = 0
@@ -137,28 +141,52 @@ def _matches(machine: Automaton, tokens: list[int], owner: list) -> tuple[list,
                     base.append((owner[k][0], i + 1 - size, i + 1))
             up = machine.link[up]
     for end, (s, size) in passed:
-        for k, index in machine.at[s].items():
+        for k, indices in machine.at[s].items():
             if not owner[k][2]:
-                found.setdefault(k, []).append((end - size, end, index))
+                found.setdefault(k, []).extend((end - size, end, index) for index in indices)
     return base, found
 
 
+def _best(places: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(covered tokens, first, end) of the best chain that ends in each match of one template.
+
+    A chain goes on with a match that ends later in text and template and
+    begins at most MAX_GAP tokens after; so only matches of a template's
+    length and that gap before are looked at.
+    """
+    places = sorted(set(places), key=lambda p: (p[1], p[2]))
+    ends, out = [p[1] for p in places], []
+    for i, (a, b, at) in enumerate(places):
+        best = (b - a, a, b)
+        for j in range(bisect.bisect_left(ends, a - MAX_GAP), i):
+            gain = min(b - max(a, places[j][1]), at - places[j][2])
+            if gain > 0 and out[j][0] + gain > best[0]:
+                best = (out[j][0] + gain, out[j][1], b)
+        out.append(best)
+    return out
+
+
 def _chains(found: dict, owner: list) -> list[tuple[str, int, int, float]]:
-    """Covered spans: matches of one template in its order, with small gaps in the text."""
-    out = []
+    """Covered spans: the best chains of each template that do not overlap; of different labels that do, the one that covers more."""
+    chains = []
     for k, places in found.items():
         label, size, _ = owner[k]
-        first = last = index = covered = None
-        for a, b, at in [*sorted(places), (1 << 60, 1 << 60, 0)]:
-            if first is not None and (a - last > MAX_GAP or at <= index):
-                out.append((label, first, last, min(1.0, covered / size)))
-                first = None
-            if a < 1 << 60:
-                if first is None:
-                    first, covered, index, last = a, 0, -1, a
-                covered += min(b - max(a, last), at - index)
-                last, index = max(last, b), at
-    return sorted((x for x in out if x[3] >= MIN_COVER), key=lambda x: (x[1], x[0], x[2]))
+        taken: list[tuple[int, int]] = []
+        for n, first, end in sorted(_best(places), key=lambda c: (-c[0], c[1], c[2])):
+            if n < MIN_COVER * size:
+                break
+            i = bisect.bisect_left(taken, (first, end))
+            if (i == 0 or taken[i - 1][1] <= first) and (i == len(taken) or end <= taken[i][0]):
+                taken.insert(i, (first, end))
+                chains.append((first, end, n, label, min(1.0, n / size)))
+    chains.sort()
+    longest = max((e - f for f, e, *_ in chains), default=0)
+    starts, out = [c[0] for c in chains], []
+    for first, end, n, label, cover in chains:
+        near = chains[bisect.bisect_left(starts, first - longest) : bisect.bisect_left(starts, end)]
+        if not any(e > first and m > n and other != label for _, e, m, other, _ in near):
+            out.append((label, first, end, cover))
+    return sorted(set(out), key=lambda x: (x[1], x[0], x[2]))
 
 
 def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -167,18 +195,21 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
     base lists every place of a base phrase (label, start, end in words from
     0, places in order of their starts); covered the spans chained from
     matches, with the part of the template they cover; score is the largest
-    such part, or 1 where a base phrase stands.  Null and empty texts have no
-    words and nothing found, with score 0.  Rows stay as they are; columns of
-    ``docs`` with the names of results are replaced.
+    such part, or 1 where a base phrase stands.  A span of which different
+    labels cover as much has all of them.  Null and empty texts have no words
+    and nothing found, with score 0; without phrases and templates nothing is
+    found anywhere.  Long texts are streamed whole; what is kept of one are its
+    matches.  Rows stay as they are, repeated ones too, and an empty table gives
+    an empty one; columns of ``docs`` with the names of results are replaced.
     """
-    model = _model(BASE if base is None else base, TEMPLATES if templates is None else templates)
+    model = _model(BASE if base is None else base, load() if templates is None else templates)
     keep = [c for c in docs.columns if c != text and c not in FIELDS.names]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         hashes, ids, owner, machine = m["hashes"], m["ids"], m["owner"], m["machine"]
-        shortest = min(MIN_MATCH, *(size for _, size, is_base in owner if is_base)) if owner else 1
+        shortest = min([MIN_MATCH, *(size for _, size, is_base in owner if is_base)])
         for batch in batches:
             n = batch.num_rows
             n_words, base_at, covered, score = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [0.0] * n
@@ -186,7 +217,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
                 start, end, row, h = words(data, bounds, "alnum")
                 for i, c in enumerate(np.diff(np.searchsorted(row, np.arange(len(bounds)))).tolist()):
                     n_words[lo + i] = c
-                if not len(h):
+                if not len(h) or not len(hashes):
                     continue
                 first = np.searchsorted(row, np.arange(len(bounds)))
                 place = np.searchsorted(hashes, h)
