@@ -10,6 +10,9 @@ one strict term, or several distinct soft ones.
 
 from __future__ import annotations
 
+import os
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +20,25 @@ from pyspark.sql import types as T
 
 from .text import LOWER, UPPER, lower_ascii
 
-#: Terms with weight 1 (strict) and below (soft).  Fixed values.
-STRICT = ("porn", "xxx", "casino", "viagra", "escort", "torrent")
-SOFT = ("adult", "bet", "bonus", "cheap", "crack", "dating", "free", "gambling", "loan", "nude", "pills", "poker", "sexy", "slots", "warez", "win")
-VOCABULARY = {t: 1.0 for t in STRICT} | {t: 0.5 for t in SOFT}
+#: Terms by weight, 1 (strict) or below (soft): each line a weight and its terms.
+TERMS = os.path.join(os.path.dirname(__file__), "url_terms.txt")
 LIMIT = 1.0
 #: (verdict, host, path).  Fixed values.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
 
+def load(path: str = TERMS) -> dict[str, float]:
+    """A vocabulary from a file that the driver reaches; A-Z count as a-z, of a term's weights the largest counts."""
+    out: dict[str, float] = {}
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            weight, *terms = line.split() or ["0"]
+            for t in terms:
+                t = lower_ascii(t).decode()
+                out[t] = max(out.get(t, 0.0), float(weight))
+    return out
+
+
 def host_of(url: Column) -> Column:
     """After the first ://, up to /, ?, # or the end, A-Z lower-cased; else empty."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1), F.lit("")), UPPER, LOWER)
@@ -39,7 +52,7 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; of equally long ones the first listed."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):  # the last tested is the longest
+    for kind, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):  # the last tested is the longest, and of equal ones the first
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         name, verdict = F.when(fits, F.lit(h + p)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
     return name, verdict
@@ -71,37 +84,43 @@ def _counter(vocabulary: dict[str, float]):
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, vocabulary: dict[str, float] | None = None, limit: float = LIMIT) -> DataFrame:
-    """``pages`` without its url column plus url, host, path, rule, strict_hits, soft_hits, weight, verdict.
+    """All columns of ``pages`` with host, path, rule, strict_hits, soft_hits, weight, verdict.
 
     A null url or one without ``://`` has an empty host and path, fits no rule
-    and is judged by its terms alone (null: none, allowed).  Columns of
-    ``pages`` with the names of results are replaced.  Rows stay as they are,
-    repeated ones too; an empty table gives an empty result.
+    and is judged by its terms alone (null: none, allowed).  Of equally long
+    rules that fit the first listed counts; a weight of exactly ``limit``
+    blocks.  Urls of any length are judged whole.  Columns of ``pages`` with
+    the names of results are replaced, all others stay.  Rows stay as they
+    are, repeated ones too; an empty table gives an empty result.
     """
-    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    vocabulary = load() if vocabulary is None else vocabulary
     made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits", "weight")
-    base = pages.withColumn("__url", F.col(url)).drop(*made)
-    base = base.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url")))
+    stay = [c for c in pages.columns if c not in made]
+    body = F.col(url)
+    host, path = host_of(body), path_of(body)
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(stay)))
+    base = pages.select(rest.alias("row"), body.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("__ruled", verdict)
+    base = base.withColumns({"rule": rule, "ruled": verdict})
 
     def scan(batches):
         count = _counter(vocabulary)
         for b in batches:
-            hits = [count(u) for u in b.column("__url").to_pylist()]
+            hits = [count(u) for u in b.column(1).to_pylist()]
             cols = [pa.array([h[i] for h in hits], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "strict_hits", "soft_hits", "weight"])
 
     fields = T.StructType([*base.schema.fields, T.StructField("strict_hits", T.LongType()), T.StructField("soft_hits", T.LongType()), T.StructField("weight", T.DoubleType())])
     out = base.mapInArrow(scan, fields)
-    return out.withColumn("verdict", F.coalesce("__ruled", F.when(F.col("weight") >= limit, "block").otherwise("allow"))).drop("__url", "__ruled")
+    verdict = F.coalesce("ruled", F.when(F.col("weight") >= limit, "block").otherwise("allow")).alias("verdict")
+    return out.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(stay)), "host", "path", "rule", "strict_hits", "soft_hits", "weight", verdict)
 
 
 def sql(rules=RULES, vocabulary: dict[str, float] | None = None, limit: float = LIMIT) -> str:
     """The same verdicts in DuckDB SQL."""
-    vocabulary = VOCABULARY if vocabulary is None else vocabulary
+    vocabulary = load() if vocabulary is None else vocabulary
     low = f"translate(coalesce(url, ''), '{UPPER}', '{LOWER}')"
-    weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in vocabulary.items())
+    weight = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in vocabulary.items())
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     order = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(k, h, p)}'" for k, h, p in order)
