@@ -12,13 +12,14 @@ one partly filled bin per length and shard.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import stored
+from .text import stored, whole_ids
 
 CAPACITIES = (256, 512, 1024, 2048)
 #: What a sequence costs beside its length, in tokens.
@@ -41,9 +42,9 @@ def _fill(lengths: list[int], sizes: list[int], opens: list[int]) -> tuple[list[
         fits = filled >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
-            stack = by_room[r]
-            b = stack.pop()
-            if not stack:
+            bins = by_room[r]
+            b = heapq.heappop(bins)  # of equal room, the bin opened first
+            if not bins:
                 filled &= ~(1 << r)
         else:
             b, r = len(room), opens[n]
@@ -52,7 +53,7 @@ def _fill(lengths: list[int], sizes: list[int], opens: list[int]) -> tuple[list[
         room[b] = r - n
         where.append(b)
         if r > n:
-            by_room.setdefault(r - n, []).append(b)
+            heapq.heappush(by_room.setdefault(r - n, []), b)
             filled |= 1 << (r - n)
     return where, [s - r for s, r in zip(size, room)]
 
@@ -91,11 +92,16 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     bin is unique in its shard, capacity the permitted length it ends with,
     used the tokens in it, position the offset of the piece in it.  Null and
     empty texts have no tokens and no rows.  Repeated rows are packed as often
-    as they stand there.
+    as they stand there; a null doc_id stays null.  Pieces of one length are
+    taken in the order of doc_id (null last), piece and a hash of the text, so
+    the result does not depend on partitions.  A very long text is counted
+    whole and only its length travels.  An empty table gives an empty one.  Ids
+    are whole numbers, other types are an error; other columns are left out.
     """
+    whole_ids(docs, doc_id)
     spark, top = docs.sparkSession, max(capacities)
     n = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)) if length is None else F.coalesce(length, F.lit(0))
-    sized = docs.select(F.col(doc_id).alias("doc_id"), n.cast("long").alias("n"), F.xxhash64(F.col(doc_id), F.col(text) if text in docs.columns else F.lit(0)).alias("h")).where("n > 0")
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), n.cast("long").alias("n"), F.xxhash64(F.col(doc_id), F.col(text) if text in docs.columns else F.lit(0)).alias("h")).where("n > 0")
     sized = stored(sized, "sizes")  # counted once, for the number of shards and for the pieces
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / top)))
     pieces = sized.select("doc_id", "h", "n", cut.alias("piece")).select("doc_id", "h", "piece", (F.col("piece") * top).alias("start"), F.least(F.lit(top), F.col("n") - F.col("piece") * top).alias("length"))
@@ -104,7 +110,8 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(shards)))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        # rows that are alike in all of these are alike
+        table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("h", "ascending")])
         sizes = table.column("length").to_pylist()
         bins, final, used = pack(sizes, capacities, overhead)
         at, position = [0] * len(final), []
@@ -115,4 +122,4 @@ def best_fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capaci
         names = ["doc_id", "piece", "start", "length", "shard"]
         return pa.table({c: table.column(c).cast(pa.int64()) for c in names} | {"bin": col(bins), "capacity": col([final[b] for b in bins]), "used": col([used[b] for b in bins]), "position": col(position)})
 
-    return dealt.drop("h").groupBy("shard").applyInArrow(run, PACKED)
+    return dealt.groupBy("shard").applyInArrow(run, PACKED)
