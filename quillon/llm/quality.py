@@ -139,11 +139,10 @@ def cotrain(xt, xm, y, pool, prior: float, rounds: int = ROUNDS) -> dict:
         gifts = pool(*_trained(own), taken)
         if not gifts:
             break
-        for view, label, key, *x in gifts:
-            if key not in taken:  # the first of two views that want it
-                to = 1 - view
-                own[to] = np.vstack([own[to][0], x[to][None]]), np.append(own[to][1], float(label))
-                taken.add(key)
+        for view, label, _, *x in gifts:
+            to = 1 - view
+            own[to] = np.vstack([own[to][0], x[to][None]]), np.append(own[to][1], float(label))
+        taken |= {key for _, _, key, *_ in gifts}
     views = [_Scaled(*o) for o in own]
     z = np.stack([v.logit(x[part]) for v, x in zip(views, (xt, xm))], 1)
     t = y[part].astype(float)

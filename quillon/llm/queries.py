@@ -76,13 +76,13 @@ def queries() -> dict:
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-_OP3 = f"""WITH lines AS (
-  SELECT doc_id, i, part[i] AS line, translate(trim(part[i], E' \\t\\n\\x0b\\x0c\\r'), '{UPPER}', '{LOWER}') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), E'\\n') AS part FROM documents), generate_series(1, len(part)) AS g(i)),
-often AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT l.doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
+#: A document is a row.
+_OP3 = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), E'\\n') AS part FROM documents),
+lines AS (SELECT r, doc_id, i, part[i] AS line, translate(trim(part[i], E' \\t\\n\\x0b\\x0c\\r'), '{UPPER}', '{LOWER}') AS key FROM docs, generate_series(1, len(part)) AS g(i)),
+often AS (SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(l.doc_id) AS doc_id, count(*) AS n_lines, count(o.key) AS n_dropped,
   sha256(coalesce(string_agg(l.line, E'\\n' ORDER BY l.i) FILTER (WHERE o.key IS NULL), '')) AS kept_sha256
-FROM lines l LEFT JOIN often o ON o.key = l.key GROUP BY l.doc_id"""
+FROM lines l LEFT JOIN often o ON o.key = l.key GROUP BY l.r"""
 
 _OP5 = rf"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM benchmark),
 docs AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_ALNUM}') AS w FROM documents),
@@ -108,5 +108,16 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(y) FROM reach WHERE r
 FROM documents d LEFT JOIN n USING (doc_id)"""
 
 
+_OP7 = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+link AS (SELECT a.vec_id AS x, b.vec_id AS y FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e) >= 0.98 * (a.n * b.n)),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+degree AS (SELECT x, count(*) AS n FROM link GROUP BY x)
+SELECT v.vec_id, coalesce(d.n, 0) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN least l ON l.x = v.vec_id LEFT JOIN degree d ON d.x = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.sql(), "op3_line_dedup": _OP3, "op5_decontaminate": _OP5, "op9_jaccard": _OP9}
+    return {"op2_url_filter": url_filter.sql(), "op3_line_dedup": _OP3, "op5_decontaminate": _OP5, "op7_near_dup": _OP7, "op9_jaccard": _OP9}
