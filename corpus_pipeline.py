@@ -1,4 +1,10 @@
-"""A corpus through five stages: quality, lines, near copies, benchmark passages, packing."""
+"""A corpus through five stages: quality, lines, near copies, benchmark passages, packing.
+
+Every stage takes whole texts, null, empty or very long ones, and an empty
+table; ids are whole numbers or null.  All but the last return exactly the
+columns of documents, whatever else was there, and rows that they do not
+touch as they are: repeated rows are decided alike.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, jaccard, line_dedup, packing, quality
-from quillon.llm.text import stored
+from quillon.llm.text import made, release, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Ids of documents that go are broadcast up to this number (16 MB); beyond it they are joined by shuffle.
@@ -21,13 +27,21 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
+    """Documents that the quality classifier keeps: a probability of 0.5 or more, null and empty texts like others.
+
+    Equal rows are kept or go together.  Without usable labels all that have
+    the larger share stay.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that many of them share."""
+    """All documents, without lines that many of them share; repeated rows count as often as they stand there.
+
+    A document of such lines only stays, with an empty text; a null text
+    becomes an empty one.
+    """
     return _documents(line_dedup.dedup(docs).withColumn("text", F.col("kept_text")))
 
 
@@ -57,13 +71,16 @@ def _near_copies_by_row(docs: DataFrame) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of fewer than two benchmark items, without the words of those."""
+    """Documents with windows of fewer than two benchmark items, without the words of those.
+
+    Null texts become empty ones; an empty benchmark changes nothing else.
+    """
     found = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True)
     return _documents(found.where(F.size("items") < 2).withColumn("text", F.coalesce("clean_text", F.lit(""))))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of the permitted lengths."""
+    """Pieces of all documents in sequences of the permitted lengths; those without words have none, repeated rows their own."""
     return packing.best_fit(docs)
 
 
@@ -74,5 +91,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's rows are a Parquet table that the next one reads."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = made()
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        # what the stage stored on its way, and the table that it read, are not read again
+        release(spark, [p for p in made()[:-1] if p not in before or "/stage-" in p])
     return STAGES[-1][1](spark, docs, sf_dir)
