@@ -89,10 +89,12 @@ STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_copies", nea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; each stage's rows are a Parquet table that the next one reads."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         before = made()
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
         # what the stage stored on its way, and the table that it read, are not read again
-        release(spark, [p for p in made()[:-1] if p not in before or "/stage-" in p])
+        *own, table = [p for p in made() if p not in before]
+        release(spark, own + last)
+        last = [table]
     return STAGES[-1][1](spark, docs, sf_dir)

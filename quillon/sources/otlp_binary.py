@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 #: Message -> field number -> (name in JSON, kind, repeated).  Fixed values of the public protocol.
 #: Kinds: s text, x id, B bytes, b bool, i integer, e enumeration, n count, z zigzag, f fixed64, w fixed32, q signed fixed64, d double,
-#: pf, pd, pn packed ones, or a message.
+#: u count as text, pf, pd, pu packed ones, or a message.
 FIELDS = {
     "Request:traces": {1: ("resourceSpans", "ResourceSpans", True)},
     "Request:logs": {1: ("resourceLogs", "ResourceLogs", True)},
@@ -46,13 +46,13 @@ FIELDS = {
     "Number": {2: ("startTimeUnixNano", "f", False), 3: ("timeUnixNano", "f", False), 4: ("asDouble", "d", False), 5: ("exemplars", "Exemplar", True), 6: ("asInt", "q", False), 7: ("attributes", "KeyValue", True), 8: ("flags", "n", False)},
     "HistogramPoint": {2: ("startTimeUnixNano", "f", False), 3: ("timeUnixNano", "f", False), 4: ("count", "f", False), 5: ("sum", "d", False), 6: ("bucketCounts", "pf", False), 7: ("explicitBounds", "pd", False), 8: ("exemplars", "Exemplar", True), 9: ("attributes", "KeyValue", True), 10: ("flags", "n", False), 11: ("min", "d", False), 12: ("max", "d", False)},
     "ExponentialPoint": {1: ("attributes", "KeyValue", True), 2: ("startTimeUnixNano", "f", False), 3: ("timeUnixNano", "f", False), 4: ("count", "f", False), 5: ("sum", "d", False), 6: ("scale", "z", False), 7: ("zeroCount", "f", False), 8: ("positive", "Buckets", False), 9: ("negative", "Buckets", False), 10: ("flags", "n", False), 11: ("exemplars", "Exemplar", True), 12: ("min", "d", False), 13: ("max", "d", False), 14: ("zeroThreshold", "d", False)},
-    "Buckets": {1: ("offset", "z", False), 2: ("bucketCounts", "pn", False)},
+    "Buckets": {1: ("offset", "z", False), 2: ("bucketCounts", "pu", False)},
     "SummaryPoint": {2: ("startTimeUnixNano", "f", False), 3: ("timeUnixNano", "f", False), 4: ("count", "f", False), 5: ("sum", "d", False), 6: ("quantileValues", "Quantile", True), 7: ("attributes", "KeyValue", True), 8: ("flags", "n", False)},
     "Quantile": {1: ("quantile", "d", False), 2: ("value", "d", False)},
     "Exemplar": {2: ("timeUnixNano", "f", False), 3: ("asDouble", "d", False), 4: ("spanId", "x", False), 5: ("traceId", "x", False), 6: ("asInt", "q", False), 7: ("filteredAttributes", "KeyValue", True)},
 }
 #: The wire type of each kind; those that are not here have a length.
-_WIRE = {"b": 0, "i": 0, "e": 0, "n": 0, "z": 0, "f": 1, "q": 1, "d": 1, "w": 5}
+_WIRE = {"b": 0, "i": 0, "e": 0, "n": 0, "u": 0, "z": 0, "f": 1, "q": 1, "d": 1, "w": 5}
 _ENVELOPE = {"traces": "ResourceSpans", "logs": "ResourceLogs", "metrics": "ResourceMetrics"}
 
 
@@ -80,6 +80,8 @@ def _scalar(kind: str, raw):
         return bool(raw)
     if kind in ("e", "n"):
         return raw
+    if kind == "u":
+        return str(raw)
     if kind == "z":
         return (raw >> 1) ^ -(raw & 1)
     if kind == "w":
@@ -114,7 +116,7 @@ def _raw(kind: str, value) -> bytes:
         return struct.pack(_PACK[kind], float(value) if kind == "d" else int(value))
     if kind == "z":
         return _number((int(value) << 1 ^ int(value) >> 63) & (1 << 64) - 1)
-    if kind in ("b", "i", "e", "n"):
+    if kind in ("b", "i", "e", "n", "u"):
         return _number(int(value) & (1 << 64) - 1)
     return {"s": str.encode, "x": bytes.fromhex, "B": base64.b64decode}[kind](value)
 
