@@ -12,6 +12,7 @@ import time
 import uuid
 from dataclasses import replace
 from datetime import datetime, timezone
+from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 
 from .. import schema
 from ..functions import keys
+from ..functions.keys import key_columns
 from ..functions.tenant import CONFIG_DEFAULT, Resolver, normal
 from ..plans import acl
 from ..plans.predicates import rows, sure, whole
@@ -127,9 +129,12 @@ class Store:
             at[1] += size
         return out
 
+    def _tables(self) -> list[str]:
+        return self.folder.names("_log")
+
     def forget_versions(self, keep: int = 1000) -> int:
         """Drop old commits from the logs, once the whole state is written down elsewhere."""
-        return sum(self.manifest(t).forget(keep) for t in (*schema.SIGNALS, "trace_index"))
+        return sum(self.manifest(t).forget(keep) for t in self._tables())
 
     def vacuum(self, grace: float = 3600.0, orphans: float = 86_400.0) -> int:
         """Delete directories that went out of the tables ``grace`` seconds ago, and those no commit has named for ``orphans``; how many.
@@ -137,7 +142,7 @@ class Store:
         Readers of an older snapshot, and reads of the past, have so long.
         """
         n, now = 0, time.time()
-        for table in (*schema.SIGNALS, "trace_index"):
+        for table in self._tables():
             state = self.manifest(table).snapshot()
             old = [d for d, at in state.gone.items() if at <= now - grace]
             for d in old:
@@ -182,6 +187,7 @@ class Store:
         """
         signal = SIGNAL_OF[type(request)]
         df = self.table(signal, None if as_of is None else self.manifest(signal).snapshot(as_of), normal(request.tenant_id))
+        df = self.visible(df, signal, normal(request.tenant_id), as_of)
         if policy is not None:
             df = acl.restrict(df, policy, principal, signal)
         if dedup:
@@ -210,6 +216,39 @@ class Store:
 
     # deletes
 
+    def bury(self, signal: str, rows_: DataFrame) -> int:
+        """Store tombstones for the keys of some rows: what was written of them up to now is not read again."""
+        seq = F.lit(self.manifest(signal).snapshot().version).cast("bigint").alias("upto")
+        keyed = rows_.select(*key_columns(signal), seq).distinct()
+        add = self.put(f"{signal}_tombstones", keyed.hint("rebalance", "tenant_id").sortWithinPartitions(*key_columns(signal)), ("tenant_id",))
+        return self.manifest(f"{signal}_tombstones").commit(add)
+
+    def visible(self, df: DataFrame, signal: str, tenant: str, as_of: int | None = None) -> DataFrame:
+        """Rows of a tenant that no tombstone hides, of those from before a commit; without tombstones the same plan."""
+        table = f"{signal}_tombstones"
+        dirs = [d for d in self.manifest(table).snapshot().live if place_of(d)[0] == tenant]
+        if not dirs:
+            return df
+        fields = T.StructType([*(schema.stored(signal)[c] for c in key_columns(signal)), T.StructField("upto", T.LongType())])
+        stones = self._frame(table, fields, dirs)
+        hidden = (stones if as_of is None else stones.where(F.col("upto") < as_of)).groupBy(*key_columns(signal)).agg(F.max("upto").alias("upto"))
+        on = [df[c].eqNullSafe(hidden[c]) for c in key_columns(signal)]
+        return df.join(hidden, [*on, df["ingest_seq"] <= hidden["upto"]], "left_anti")
+
+    def purge(self, signal: str) -> int:
+        """Delete the rows that tombstones hide, and those tombstones; in how many partitions."""
+        table = f"{signal}_tombstones"
+        old, state = list(self.manifest(table).snapshot().live), self.manifest(signal).snapshot()
+        tenants = {place_of(d)[0] for d in old}
+        dirs = [d for d in state.live if place_of(d)[0] in tenants]
+        if dirs:
+            parts = [self.visible(self._frame(signal, schema.stored(signal), [d for d in dirs if place_of(d)[0] == t]), signal, t) for t in sorted({place_of(d)[0] for d in dirs})]
+            rest = reduce(DataFrame.unionByName, parts)
+            self.manifest(signal).commit(self.put(signal, rest.hint("rebalance", *PLACE).sortWithinPartitions(*PLACE, *ORDER[signal]), PLACE), remove=dirs)
+        if old:
+            self.manifest(table).commit(remove=old)
+        return len({place_of(d) for d in dirs})
+
     def delete(self, request: Request) -> int:
         """Delete the rows of a request that are stored now; how many they were."""
         signal = SIGNAL_OF[type(request)]

@@ -219,6 +219,13 @@ def store_delete_metrics(spark, sf_dir):
     return store.table("metrics").select(*HEAD["metrics"])
 
 
+def store_tombstones(spark, sf_dir):
+    """Logs of a tenant that stored tombstones do not hide."""
+    store = _stored(spark, sf_dir, "tombstones", "logs", _TENANTS)
+    store.bury("logs", store.read(LogRequest("svc-3", severity=17)))
+    return store.read(LogRequest("svc-3")).select(*HEAD["logs"])
+
+
 def concurrent_compaction(spark, sf_dir):
     """Rows of a store of which a part was appended by another one between the read and the commit of a compaction."""
     store = Store(spark, _scratch(spark, "concurrent"), _TENANTS, index=False)
@@ -350,7 +357,7 @@ def queries() -> dict:
     out = {n: _read(r) for n, (r, _) in READS.items()}
     out |= {"tenant_resolve_fallback": _resolve(Resolver("attribute_based", (), "fallback")), "tenant_resolve_static": _resolve(Resolver("static", (), "solo")), "tenant_resolve_config": _resolve(CONFIG_DEFAULT)}
     out |= {f"sort_key_{s}": _keys(s) for s in HEAD}
-    named = (trace_by_id, count_by_tenant, ordered_scan, upsert_latest, delete_by_predicate, tombstone_anti_join, ttl_retained, time_travel, compaction_invariant, store_delete, store_read_traces, store_read_logs, store_read_metrics, store_trace_by_id, index_rebuild, store_delete_logs, store_delete_metrics, concurrent_compaction, store_time_travel, otlp_binary_roundtrip, histogram_roundtrip, http_counts, trace_tree_sql, stream_ingest_roundtrip, trace_log_correlation, service_graph, span_tree, metric_downsample, metric_agg_by_attr, exemplar_link, acl_filter, tail_sample, log_search, resource_dimension)
+    named = (trace_by_id, count_by_tenant, ordered_scan, upsert_latest, delete_by_predicate, tombstone_anti_join, ttl_retained, time_travel, compaction_invariant, store_delete, store_read_traces, store_read_logs, store_read_metrics, store_trace_by_id, index_rebuild, store_delete_logs, store_delete_metrics, store_tombstones, concurrent_compaction, store_time_travel, otlp_binary_roundtrip, histogram_roundtrip, http_counts, trace_tree_sql, stream_ingest_roundtrip, trace_log_correlation, service_graph, span_tree, metric_downsample, metric_agg_by_attr, exemplar_link, acl_filter, tail_sample, log_search, resource_dimension)
     return out | {f.__name__: f for f in named}
 
 
@@ -379,6 +386,7 @@ def oracle_sql() -> dict[str, str]:
         "index_rebuild": f"{SIG}SELECT DISTINCT service AS tenant_id, trace_id, CASE event_id % 2 WHEN 0 THEN '2024-02-01' ELSE '2024-02-02' END AS day FROM sig",
         "store_delete_logs": f"{SIG}{mine['logs']} WHERE NOT (service = 'svc-3' AND severity_number = 17)",
         "store_delete_metrics": f"{SIG}{mine['metrics']} WHERE NOT (service = 'svc-4' AND event_type = 'purchase')",
+        "store_tombstones": f"{SIG}{mine['logs']} WHERE service = 'svc-3' AND severity_number <> 17",
         "concurrent_compaction": f"{SIG}{own}",
         "store_time_travel": f"{SIG}{mine['logs']} WHERE service = 'svc-3'",
         "otlp_binary_roundtrip": f"{SIG}{own}",

@@ -157,6 +157,20 @@ def test_sweep_deletes_what_nobody_needs(spark, tmp_path):
     assert store.read(LogRequest("a")).count() == 2
 
 
+def test_tombstones_are_stored(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    for t in ("t", "u"):
+        store.write_logs(frame(spark, "logs", [log("s", 17), log("s", 9), log("s", 9)]), t, ingest_date="2024-01-01")
+    store.bury("logs", store.read(LogRequest("t", severity=9)))
+    again = Store(spark, store.root)
+    assert again.count(LogRequest("t"))["count"] == 1 and again.count(LogRequest("u"))["count"] == 3
+    again.write_logs(frame(spark, "logs", [log("s", 9)]), "t", ingest_date="2024-01-01")  # written later: seen
+    assert again.count(LogRequest("t"))["count"] == 2
+    assert again.purge("logs") == 1 and again.table("logs").count() == 5 and again.count(LogRequest("t"))["count"] == 2
+    assert again.manifest("logs_tombstones").snapshot().live == {} and again.purge("logs") == 0
+    assert sweep(again, date(2024, 1, 2), grace=0)["deleted"] > 0 and again.count(LogRequest("u"))["count"] == 3
+
+
 def test_commits_are_exclusive_and_written_down(spark, tmp_path):
     folder = Folder(spark, f"file://{tmp_path}/f")
     m = Manifest(folder, "t")
