@@ -23,23 +23,27 @@ ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "[0-9a-f]{32,}"
 MIN_VALUE = 8
 #: Runs that the Markov models judge, and the least log-likelihood ratio of a character (in thousandths of a nat).
-RUN, LEAST = "[A-Za-z0-9_]{20,}", 250
+RUN, LEAST = "[A-Za-z0-9_+/=-]{20,}", 250
 KINDS = ("assign", "access", "hex", "random")
 #: States of the models: the characters of a run.
-STATES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_"
+STATES = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_+/=-"
 #: Ordinary identifiers are made of these.  Fixed values.
 PARTS = "account address amount async base batch buffer build cache client close code commit config connection context count create customer data date delete description device domain element email error event export field file filter first format from generate get group header height host import index info instance interface internal item key label length level license link list load location lock log manager map message model module name next node number offset option order owner page parameter parse path payment person position post process product profile protocol provider public queue range read reference region register remote remove render request resource response return role route sample schedule schema search section select sequence server service set setting shipping sort source start status step store string structure submit support switch system target task template text thread time token total trace transfer tree trigger update upload user value vector version window with work write zone".split()
 
 
 def samples(n: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
-    """Labelled strings: 1 for random ones over usual alphabets, 0 for identifiers and words."""
+    """Labelled strings: 1 for random ones over usual alphabets, 0 for identifiers, words and paths."""
     rng, out = random.Random(seed), []
+    alphabets = (STATES[:62], "0123456789abcdef", STATES[:36], STATES[:10] + STATES[36:62], STATES[:62] + "+/", STATES[:62] + "-_")
     for i in range(n):
-        alphabet = (STATES[:62], "0123456789abcdef", STATES[:36], STATES[:10] + STATES[36:62])[i % 4]
-        out.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(20, 44))), 1))
+        alphabet = alphabets[i % len(alphabets)]
+        padding = "=" * rng.randrange(3) if "+" in alphabet else ""
+        out.append(("".join(rng.choice(alphabet) for _ in range(rng.randint(20, 44))) + padding, 1))
         parts = [rng.choice(PARTS) for _ in range(rng.randint(3, 6))]
         number = str(rng.choice((1, 2, 3, 10, 16, 64, 100, 2024, 2025))) if rng.random() < 0.2 else ""
-        out.append(((("_".join(parts), parts[0] + "".join(p.title() for p in parts[1:]), "".join(p.title() for p in parts), "".join(parts), "_".join(parts).upper())[i % 5]) + number, 0))
+        rule = "-" * 20 if i % 50 == 0 else "=" * 20 if i % 50 == 1 else ""
+        forms = ("_".join(parts), parts[0] + "".join(p.title() for p in parts[1:]), "".join(p.title() for p in parts), "".join(parts), "_".join(parts).upper(), "-".join(parts), "/" + "/".join(parts), "=".join(parts[:2]) + "/" + "-".join(parts[2:]))
+        out.append((rule or forms[i % len(forms)] + number, 0))
     return out
 
 
