@@ -183,19 +183,21 @@ def _pool(features: DataFrame, given: int, width: tuple[int, int]):
                 keys, tie = b.column("key").to_pylist(), b.column("tie").to_pylist()
                 for v, p in enumerate(sure(views, lines, x)):
                     for y, q in ((1, p), (0, 1 - p)):
-                        rows = np.flatnonzero(q >= max(CONFIDENT, best[v, y][-1][0] * -1 if len(best[v, y]) == given else 0))
-                        found = [(-float(q[i]), tie[i], keys[i], x[0][i].tobytes(), x[1][i].tobytes()) for i in rows.tolist() if keys[i] not in taken]
-                        best[v, y] = sorted({r[2]: r for r in best[v, y] + found}.values())[:given]
+                        least = -best[v, y][-1][0] if len(best[v, y]) == given else 0.0
+                        found = [(-float(q[i]), tie[i], keys[i]) for i in np.flatnonzero(q >= max(CONFIDENT, least)).tolist() if keys[i] not in taken]
+                        best[v, y] = sorted({*best[v, y], *found})[:given]
             rows = [(v, y, *r) for (v, y), rs in best.items() for r in rs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["v", "y", "p", "tie", "key", "t", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()))], names=["v", "y", "p", "tie", "key"])
 
-        found, out = features.mapInArrow(run, "v int, y int, p double, tie bigint, key bigint, t binary, m binary").dropDuplicates(["v", "y", "key"]), []
-        for v in (0, 1):
-            for y in (1, 0):
-                for r in found.where((F.col("v") == v) & (F.col("y") == y)).orderBy("p", "tie", "key").limit(given).collect():
-                    out.append((v, y, r.key, np.frombuffer(r.t, np.float32), np.frombuffer(r.m, np.float32)))
+        found = features.mapInArrow(run, "v int, y int, p double, tie bigint, key bigint").dropDuplicates(["v", "y", "key"]).persist()
+        chosen = [(v, y, r.key) for v in (0, 1) for y in (1, 0) for r in found.where((F.col("v") == v) & (F.col("y") == y)).orderBy("p", "tie", "key").limit(given).collect()]
+        found.unpersist()
         shared.destroy()
-        return out
+        if not chosen:
+            return []
+        keys = F.broadcast(spark.createDataFrame(sorted({(k,) for *_, k in chosen}), "key bigint"))
+        x = {r.key: (np.frombuffer(r.t, np.float32), np.frombuffer(r.m, np.float32)) for r in features.join(keys, "key").dropDuplicates(["key"]).collect()}
+        return [(v, y, k, *x[k]) for v, y, k in chosen]
 
     return pool
 
