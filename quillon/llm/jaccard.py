@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import grams, mix, partitions, pieces, stored, whole_ids, words
+from .text import grams, mix, partitions, parts, pieces, stored, whole_ids, words
 
 SHINGLE, PERCENT = 5, 75
 #: Rows of one part of the product.
@@ -117,7 +117,7 @@ def _deal(docs: DataFrame, doc_id: str, text: str, k: int, keys: np.ndarray) ->
     a way that is the same for all rows.  A set that the task dealt before has
     no postings here: it is there for its documents only.
     """
-    parts = np.uint64(len(keys))
+    ranges = np.uint64(len(keys))
     enough = min(MOST_POSTINGS, LEAST_IN_RANGE * len(keys))
 
     def packed(row, g, own, n, doc, null):
@@ -138,7 +138,7 @@ def _deal(docs: DataFrame, doc_id: str, text: str, k: int, keys: np.ndarray) ->
         b = int(mix(np.array([seed.sum() + np.uint64(len(g))], np.uint64)).view(np.int64)[0])
         rows = [_row(-1 - keys[b % len(keys)], b, np.bincount(row[shared], minlength=m), g[shared], b"", ids.tobytes(), _planes(ns), docs=doc.tobytes(), nulls=np.packbits(null).tobytes(), of=_planes(of))]
         row, g = row[~shared], g[~shared]
-        dest, to = (((x >> np.uint64(33)) % parts).astype(np.int64) for x in (g, marks))
+        dest, to = (((x >> np.uint64(33)) % ranges).astype(np.int64) for x in (g, marks))
         order, mark_order = np.argsort(dest, kind="stable"), np.argsort(to, kind="stable")
         cut, mark_cut = (np.searchsorted(x, np.arange(len(keys) + 1)) for x in (dest[order], to[mark_order]))
         for i in np.flatnonzero((cut[1:] > cut[:-1]) | (mark_cut[1:] > mark_cut[:-1])).tolist():
@@ -150,7 +150,7 @@ def _deal(docs: DataFrame, doc_id: str, text: str, k: int, keys: np.ndarray) ->
         seen: set[int] = set()
         held: list[tuple] = []
         docs = postings = 0
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column(0)
             null, doc = ids.is_null().to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, data, bounds in pieces(batch.column(1)):
