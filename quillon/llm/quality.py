@@ -203,13 +203,14 @@ def _pool(features: DataFrame, given: int, width: tuple[int, int]):
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", meta=("source", "lang", "n_chars"), per_class: int = TRAIN_DOCS) -> dict:
-    """The model, from a bounded sample of labelled documents outside the held-out fold and from all unlabelled ones.
+    """The model, from a bounded sample of labelled documents outside the held-out fold and, without labels, from all others.
 
     Labelled are documents whose id has a label of 0 or 1 (the smaller one, if
     it has both); the ``per_class`` rows with the smallest hashes are learned
-    from.  Unlabelled are documents whose id is in no row of ``labels``, and
-    those without an id.  Equal rows count once.  The features of unlabelled
-    documents are stored once, so that a round does not read texts again.
+    from.  All documents with other ids, or none, are unlabelled here, as a
+    label that is not in the sample is not looked at.  Equal rows count once.
+    The features of unlabelled documents are stored once, so that a round does
+    not read texts again, and nothing but samples is shuffled.
     """
     meta = [c if c in docs.columns else None for c in meta]
     i = F.col(doc_id).alias("i")
@@ -219,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     order = F.xxhash64("i", F.lit(6))
     some = [known.where(F.col("y") == v).orderBy(order, "i").limit(per_class) for v in (0, 1)]
     seen = docs.select(i, *cols).join(F.broadcast(some[0].union(some[1])), "i").withColumn("key", F.xxhash64("i", *cols))
-    free = docs.select(i, *cols).join(labels.select(i).distinct(), "i", "left_anti").withColumn("key", F.xxhash64("i", *cols)).withColumn("y", F.lit(-1))
+    free = docs.select(i, *cols).join(F.broadcast(some[0].union(some[1]).select("i")), "i", "left_anti").withColumn("key", F.xxhash64("i", *cols)).withColumn("y", F.lit(-1))
     each = _features(text, meta)
 
     def run(batches):
