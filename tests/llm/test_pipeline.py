@@ -1,10 +1,12 @@
 """The pipeline's stages on planted documents, and the registered queries."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from quillon.llm import queries
+from quillon.llm.text import made, release
 from test_models import world
 
 
@@ -74,6 +76,31 @@ def test_run_and_its_empty_tables(spark, folder, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_odd_rows_go_through_every_stage(spark, make, prose, tmp_path):
+    """Null ids, texts and columns, repeated rows, a very long text, and columns with the names of results."""
+    long = "\n".join(prose(400, 900 + k) for k in range(300))
+    texts = [None, "", long, prose(50, 950), prose(50, 950), prose(50, 951), None]
+    docs = make(texts, [1, 2, 3, 4, 4, None, None]).withColumns({c: F.lit("clash") for c in ("h", "id", "kept", "items", "n_dropped", "row", "quality", "a.b")})
+    spark.createDataFrame([(4, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "nowhere to be found"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        want = 6 if name in ("near_copies", "benchmark") else 7  # the repeated row
+        assert docs.count() == want, name
+    assert {r.doc_id: r.text for r in docs.collect()}[3] == long
+    packed = corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == 300 * 400 + 50 + 50 and {r.doc_id for r in packed} == {3, 4, None}
+
+
+def test_run_leaves_the_last_stage_only(spark, folder):
+    release(spark, made())
+    corpus_pipeline.run(spark, folder[0]).count()
+    assert sum("/stage-" in p for p in made()) == 1 and not any("/features-" in p or "/rows-" in p for p in made())
+
+
 def test_registered(spark):
     named = __spark_entry__.queries()
     assert [n for n in named if n.startswith("op")] == list(queries.queries())
