@@ -98,7 +98,8 @@ def _point(p: Column) -> Column:
 
 def _metric(x: Column) -> Column:
     first = lambda field: F.coalesce(*(x[k][field] for k in KINDS_OF_DATA))
-    kind = F.coalesce(*(F.when(x[k].isNotNull(), F.lit("exponential_histogram" if k[0] == "e" else k)) for k in KINDS_OF_DATA), F.lit(""))
+    # an exponential histogram has all its fields, but no type in requests and keys
+    kind = F.coalesce(*(F.when(x[k].isNotNull(), F.lit("" if k == "exponentialHistogram" else k)) for k in KINDS_OF_DATA), F.lit(""))
     temporality = _enumeration("AGGREGATION_TEMPORALITY_", {k: i for i, k in enumerate(TEMPORALITY)})
     return F.struct(x["name"].alias("name"), x["unit"].alias("unit"), kind.alias("type"), F.transform(first("dataPoints"), _point).alias("points"), x["description"].alias("description"), temporality(first("aggregationTemporality")).alias("temporality"), first("isMonotonic").alias("monotonic"))
 

@@ -29,12 +29,14 @@ def test_silver_takes_every_element(spark):
     assert sorted(r.event_time_unix_nano for r in got.collect()) == [4, 6]
 
 
-def test_span_tree(spark):
+@pytest.mark.parametrize("small", [100_000, 10, 0])
+def test_span_tree(spark, small):
     chain = [span(NOW + i, "x", str(i), str(i - 1) if i else None) for i in range(40)]
     odd = [span(NOW, "y", "a", "missing"), span(NOW, "y", "b", "a"), span(NOW, "y", "c", "d"), span(NOW, "y", "d", "c"), span(NOW, "y", "e", "")]
-    got = {(r.trace_id, r.span_id): (r.root_span_id, r.depth) for r in analytics.span_tree(spans(spark, trace("s", *chain), trace("s", *odd)), rounds=8).collect()}
+    got = {(r.trace_id, r.span_id): (r.root_span_id, r.depth) for r in analytics.span_tree(spans(spark, trace("s", *chain), trace("s", *odd)), small).collect()}
     assert all(got["x", str(i)] == ("0", i) for i in range(40))
     assert {k[1]: v for k, v in got.items() if k[0] == "y"} == {"a": ("a", 0), "b": ("a", 1), "c": (None, None), "d": (None, None), "e": ("e", 0)}
+    assert analytics.span_tree(spans(spark, trace("s", span())).limit(0), small).count() == 0
 
 
 def test_service_graph(spark):

@@ -32,7 +32,7 @@ def attribute(key, value):
 
 
 RESOURCE = put(1, attribute("service.name", put(1, "svc")) + attribute("n", put(3, -5)) + attribute("l", put(5, put(1, put(1, "x")))) + attribute("raw", put(7, b"\x00\x01")))
-SPAN = put(1, b"\xab" * 16) + put(2, b"\x01" * 8) + put(5, "op") + put(6, 2) + put(7, ("f", NOW)) + put(8, ("f", NOW + 5)) + put(11, b"an event that is skipped") + put(15, put(3, 2)) + varint(14 << 3 | 5) + b"\0\0\0\0"
+SPAN = put(1, b"\xab" * 16) + put(2, b"\x01" * 8) + put(5, "op") + put(6, 2) + put(7, ("f", NOW)) + put(8, ("f", NOW + 5)) + put(111, b"an unknown field that is skipped") + put(15, put(3, 2)) + varint(114 << 3 | 5) + b"\0\0\0\0"
 TRACE = RESOURCE + put(2, put(1, put(1, "scope")) + put(2, SPAN) + put(2, SPAN))
 LOG = RESOURCE + put(2, put(2, put(2, 17) + put(5, put(1, "boom")) + put(9, b"\xcd" * 16) + put(11, ("f", NOW))))
 POINT = put(3, ("f", NOW)) + put(4, ("d", 1.5)) + put(5, put(3, ("d", 9.0)) + put(4, b"\x02" * 8) + put(5, b"\xab" * 16))
