@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import grams, parts, pieces, words
+from .text import grams, slices, pieces, words
 
 WINDOW = 8
 #: Items of one broadcast block, and its bytes of text; of a larger benchmark a process holds one block at a time.
@@ -175,7 +175,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     keep = [c for c in base.columns if c != text or not clean]
 
     def run(batches):
-        for batch in parts(batches, BATCH_ROWS if len(blocks) < 2 else 1 << 30):  # several blocks are loaded anew for each
+        for batch in slices(batches, BATCH_ROWS if len(blocks) < 2 else 1 << 30):  # several blocks are loaded anew for each
             n = batch.num_rows
             n_words, spans, items = np.zeros(n, np.int64), [[] for _ in range(n)], [[] for _ in range(n)]
             column = batch.column(batch.schema.get_field_index(text))

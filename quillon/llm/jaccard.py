@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .text import grams, mix, partitions, parts, pieces, stored, whole_ids, words
+from .text import grams, mix, partitions, slices, pieces, stored, whole_ids, words
 
 SHINGLE, PERCENT = 5, 75
 #: Rows of one part of the product.
@@ -150,7 +150,7 @@ def _deal(docs: DataFrame, doc_id: str, text: str, k: int, keys: np.ndarray) ->
         seen: set[int] = set()
         held: list[tuple] = []
         docs = postings = 0
-        for batch in parts(batches):
+        for batch in slices(batches):
             ids = batch.column(0)
             null, doc = ids.is_null().to_numpy(zero_copy_only=False).astype(bool), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, data, bounds in pieces(batch.column(1)):

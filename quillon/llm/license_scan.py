@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .text import parts, pieces, words
+from .text import slices, pieces, words
 
 #: Phrases of the base labels.  Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
         m = shared.value
         hashes, ids, owner, machine = m["hashes"], m["ids"], m["owner"], m["machine"]
         shortest = min([MIN_MATCH, *(size for _, size, is_base in owner if is_base)])
-        for batch in parts(batches):
+        for batch in slices(batches):
             n = batch.num_rows
             n_words, base_at, covered, score = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)], [0.0] * n
             for lo, data, bounds in pieces(batch.column(batch.schema.get_field_index(text))):

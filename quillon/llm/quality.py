@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mix, parts, pieces, stored, words
+from .text import mix, slices, pieces, stored, words
 from .toxicity import held_out, logistic
 
 #: Labelled documents of each class that are learned from, at most.
@@ -90,7 +90,7 @@ def meta_view(source, lang, n_chars) -> np.ndarray:
 def _features(text: str, meta: list[str | None]):
     """A generator of (batch, content view, metadata view) for mapInArrow functions."""
     def each(batches):
-        for b in parts(batches):
+        for b in slices(batches):
             get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist() if c else [None] * b.num_rows
             views = [text_view(data, bounds) for _, data, bounds in pieces(b.column(b.schema.get_field_index(text)))]
             yield b, np.vstack(views) if views else np.zeros((0, 32 + WORDS), np.float32), meta_view(*(get(c) for c in meta))

@@ -67,7 +67,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def parts(batches, rows: int = 1000):
+def slices(batches, rows: int = 1000):
     """Arrow batches in slices of so many rows, so that what is made of one is small; Spark bounds a batch by its bytes only."""
     for b in batches:
         for lo in range(0, b.num_rows, rows):

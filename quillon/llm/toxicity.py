@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import mix, parts, pieces, powers, words
+from .text import mix, slices, pieces, powers, words
 
 BUCKET_BITS, DIM, SIZES = 18, 8, (3, 4, 5)
 #: Labelled documents that are learned from, at most, toxic and clean: those with the smallest hashes.
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows, share = sample(docs, labels, doc_id, text, label, per_class)
 
     def distinct(batches):
-        for b in parts(batches):
+        for b in slices(batches):
             out = [""] * b.num_rows
             for lo, data, bounds in pieces(b.column(2)):
                 start, end, row, _ = words(data, bounds, "alnum")
@@ -265,7 +265,7 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         m = shared.value
-        for b in parts(batches):
+        for b in slices(batches):
             z = np.full(b.num_rows, -np.inf)
             for lo, data, bounds in pieces(b.column(b.schema.get_field_index(text))):
                 z[lo : lo + len(bounds) - 1] = logits(m, data, bounds)

